@@ -44,8 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_chunk(chunk: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, in order, and how many words each text has."""
+def hash_chunk(chunk: Sequence[bytes], prefixes: Sequence[int] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts, in order, and how many words each text has.
+
+    For each of ``prefixes``, the hashes of the words' first so many bytes follow.
+    """
     data = np.frombuffer(b"\n".join(chunk) + b"\n", np.uint8)
     space = _SPACE[data]
     edge = np.empty(len(data) + 1, np.int8)
@@ -57,13 +60,20 @@ def hash_chunk(chunk: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.cumsum(lengths)
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, *(np.zeros(0, np.uint64) for _ in prefixes)
     terms = _BYTE[data] * _power(_P, len(data))
     terms[space] = 0
+    back = _power(_P_INV, len(data))[starts]
     total = np.add.reduceat(terms, starts)
-    total *= _power(_P_INV, len(data))[starts]
+    total *= back
     total += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(total), counts
+    more = []
+    for k in prefixes:
+        part = terms[starts].copy()
+        for i in range(1, k):
+            part += np.where(starts + i < ends, terms[np.minimum(starts + i, len(data) - 1)], np.uint64(0))
+        more.append(mix(part * back + np.uint64(k)))
+    return mix(total), counts, *more
 
 
 def chunks(texts: Sequence[str | None], lower: bool) -> Iterator[tuple[int, int, list[bytes]]]:
