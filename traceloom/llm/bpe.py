@@ -304,13 +304,14 @@ def default_vocabulary() -> tuple[dict[bytes, int], str]:
     return load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Encodes, decodes the ids again, and reports digests of both."""
     ranks, pattern = default_vocabulary()
     ids = encode(docs, ranks, pattern)
     ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    both = decode(ids, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    keep = ("doc_id", "n_tokens", "ids_sha256", *(("ids",) if with_ids else ()))
+    both = decode(ids, ranks, keep=keep)
+    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *keep[3:])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
