@@ -1,7 +1,8 @@
 """Exact top-k search among binary codes by incremental multi-index hashing (operator 1).
 
-A code of ``bits`` bits is cut into ``m`` segments of about log2(number of codes) bits,
-and each segment's values are an index. A query probes all segments at radius 0, 1, 2,
+A code of ``bits`` bits is cut into ``m`` segments of at most about log2(number of codes)
+bits, and each segment's values are an index: a value leads to its codes, in lists of about
+``LIST`` codes however many share the value. A query probes all segments at radius 0, 1, 2,
 ...: if its segments differ in more than s bits each, two codes are more than
 m * (s + 1) - 1 apart. So after radius s everything up to that distance has been seen,
 and a query is finished once its kth verified distance is at most that. Only unfinished
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 
 K = 10
+#: Codes in one list of the index, about.
+LIST = 256
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -38,8 +41,8 @@ def sign_code(vector: Column, bits: int = 64) -> Column:
 
 
 def segments(bits: int, n: int) -> list[tuple[int, int]]:
-    """(first bit, length) of each segment: about log2(n) bits each, all bits covered."""
-    m = max(1, min(bits, round(bits / max(1.0, math.log2(max(n, 2))))))
+    """(first bit, length) of each segment: at most about log2(n) bits each, all bits covered."""
+    m = max(1, min(bits, math.ceil(bits / max(1.0, math.log2(max(n, 2))))))
     cuts = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -52,7 +55,8 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
     """The ``k`` nearest other rows of each query: ``query_id, rank, <id>, distance``.
 
     Ties go to the smaller id. Rows with a null id or code take no part. Repeated ids:
-    rows with a query's own id are never its neighbours; otherwise each row counts. All
+    the smallest code is the query, rows of its own id are never its neighbours, and otherwise
+    each row counts. All
     candidates come if fewer than ``k`` exist. ``is_query`` tells the queries (default:
     ids divisible by 100). Other columns are not read; an empty table gives no rows.
     """
@@ -67,7 +71,10 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
     cuts = segments(bits, n)
     m = len(cuts)
     entries = index.select("code", "ids", F.posexplode(F.array(*(_segment(F.col("code"), a, w) for a, w in cuts))).alias("seg", "value"))
-    active = base.where("q").select(F.col("id").alias("query_id"), F.col("code").alias("qcode")).distinct()
+    lists = entries.groupBy("seg", "value").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    dealt = entries.join(lists, ["seg", "value"]).withColumn("list", F.pmod(F.xxhash64("code"), "lists"))
+    buckets = materialize(dealt.groupBy("seg", "value", "list").agg(F.collect_list(F.struct("code", "ids")).alias("codes")).drop("list"), "mih-buckets")
+    active = base.where("q").groupBy(F.col("id").alias("query_id")).agg(F.min("code").alias("qcode")).withColumn("within", F.lit(bits))
     schema = "query_id long, qcode long, code long, ids array<bigint>, d int"
     best = spark.createDataFrame([], schema)
     finished: list[DataFrame] = []
@@ -75,23 +82,31 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
     for s in range(max(w for _, w in cuts) + 1):
         masks = [(i, sum(1 << b for b in on)) for i, (_, w) in enumerate(cuts) for on in combinations(range(w), s)]
         table = F.broadcast(spark.createDataFrame(masks, "seg int, mask long"))  # as many as bit patterns of radius s
-        values = active.select("query_id", "qcode", F.posexplode(F.array(*(_segment(F.col("qcode"), a, w) for a, w in cuts))).alias("seg", "v"))
-        probes = values.join(table, "seg").select("query_id", "qcode", "seg", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(entries, ["seg", "value"])
-        apart = F.col("qcode").bitwiseXOR(F.col("code"))
-        each = [F.bit_count(_segment(apart, a, w)) for a, w in cuts]
-        first = F.array_position(F.transform(F.array(*each), lambda x: x <= s), True) - 1
-        new = met.where((first == F.col("seg")) & reduce(lambda a, b: a & b, (x >= s for x in each)))
-        new = new.select("query_id", "qcode", "code", "ids", F.bit_count(apart).cast("int").alias("d"))
+        values = active.select("query_id", "qcode", "within", F.posexplode(F.array(*(_segment(F.col("qcode"), a, w) for a, w in cuts))).alias("seg", "v"))
+        probes = values.join(table, "seg").select("query_id", "qcode", "within", "seg", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(buckets, ["seg", "value"])
+
+        def near(x: Column) -> Column:
+            apart = F.col("qcode").bitwiseXOR(x["code"])
+            each = [F.bit_count(_segment(apart, a, w)) for a, w in cuts]
+            # in this segment first: no other is nearer, and none before it as near
+            first = reduce(lambda a, b: a & b, (F.when(F.lit(i) < F.col("seg"), e > s).otherwise(e >= s) for i, e in enumerate(each)))
+            return (F.bit_count(apart) <= F.col("within")) & first
+
+        # what is farther than k verified ones stays in its list
+        new = met.select("query_id", "qcode", F.explode(F.filter("codes", near)).alias("x")).select("query_id", "qcode", "x.code", "x.ids")
+        new = new.withColumn("d", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("int"))
         top = best.unionByName(new).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r")
         best = materialize(top, "mih-best")
         # rows that a query has found: its own id is not a neighbour
         others = F.size(F.filter("ids", lambda x: x != F.col("query_id")))
         at_most = m * (s + 1) - 1
-        state = best.groupBy("query_id").agg(F.sum(F.when(F.col("d") <= at_most, others).otherwise(0)).alias("sure"), F.sum(others).alias("seen"))
+        state = best.groupBy("query_id").agg(F.sum(F.when(F.col("d") <= at_most, others).otherwise(0)).alias("sure"), F.sum(others).alias("seen"), F.max("d").alias("last"))
         done = state.where((F.col("sure") >= k) | (F.col("seen") >= total - 1)).select("query_id")
         finished.append(best.join(done, "query_id", "left_semi"))
-        active = materialize(active.join(done, "query_id", "left_anti"), "mih-active")
+        bound = state.select("query_id", F.when(F.col("seen") >= k, F.col("last")).otherwise(bits).alias("now"))
+        left = active.join(done, "query_id", "left_anti").join(bound, "query_id", "left")
+        active = materialize(left.select("query_id", "qcode", F.coalesce("now", "within").alias("within")), "mih-active")
         best = best.join(active.select("query_id"), "query_id", "left_semi")
         if active.isEmpty():
             break
