@@ -12,6 +12,9 @@ alone has cannot be part of a shared key and goes before keys are formed. In eac
 leaders are compared with the other members: first the smallest class alone, then, only
 in buckets that still hold several components, 4, 16, 64, ... more, until each pair of a
 bucket is in one component or has been compared. Pairs are verified on the full sets.
+Before that a bitmap of ``MAP_BITS`` hashed shingles a class bounds their intersection
+from above: a bit that one map has alone stands for a shingle that is not shared. The
+bound drops no pair that could be linked.
 No window or list ever holds a bucket whose members are all linked.
 """
 
@@ -29,6 +32,7 @@ from .components import components
 from .hashing import chunks, hash_chunk, mix
 
 GROUPS, WIDTH, SHINGLE = 10, 4, 4
+MAP_BITS = 2048
 #: Ids that may be broadcast to pick texts (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -84,8 +88,21 @@ def _sketch(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h1, h2, groups.view(np.int64)
 
 
+def _maps(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bitmap of hashed shingles for each text, as signed 64-bit words."""
+    out = np.zeros((len(counts), MAP_BITS // 64), np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    bit = (sets >> np.uint64(53 - 11)).astype(np.int64) % MAP_BITS
+    for a in range(0, len(counts), 512):
+        part = slice(*np.searchsorted(owner, [a, a + 512]))
+        bits = np.zeros((min(512, len(counts) - a), MAP_BITS), bool)
+        bits[owner[part] - a, bit[part]] = True
+        out[a : a + 512] = np.packbits(bits, axis=1).view(np.int64)
+    return out
+
+
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, groups`` of each input row."""
+    """``doc_id, n_shingles, h1, h2, groups, map`` of each input row."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +111,11 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 sets, counts = shingle_sets(held, shingle)
                 h1, h2, groups = _sketch(sets, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * 2 * GROUPS, 2 * GROUPS, dtype=np.int32)), pa.array(groups.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "groups"])
+                words = MAP_BITS // 64
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * words, words, dtype=np.int32)), pa.array(_maps(sets, counts).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(h1), pa.array(h2), lists, maps], names=["doc_id", "n_shingles", "h1", "h2", "groups", "map"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, groups array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, groups array<bigint>, map array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -151,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = materialize(sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"))
+    classes = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("map").alias("map"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     values = classes.select("c", "n", F.posexplode("groups").alias("g", "v"))
     shared = values.groupBy("g", "v").agg(F.count("*").alias("k")).where("k > 1").select("g", "v")
@@ -164,7 +183,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = keys.groupBy("key").agg(F.min(F.struct("c", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", F.col("lead.c").alias("a"), F.col("lead.n").alias("na"))
     sized = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     pairs = keys.join(least, "key").where((F.col("c") > F.col("a")) & sized("n", "na")).groupBy("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).agg(F.count("*").alias("tables"))
-    pairs = materialize(pairs, "pairs")
+    maps = classes.select("c", "map")
+    named = lambda x: maps.select(F.col("c").alias(x), F.col("map").alias(f"m{x}"))
+
+    def possible(na, nb, ma, mb):
+        """Whether the maps leave room for a link."""
+        alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+        most = F.least(F.col(na) - alone(ma, mb), F.col(nb) - alone(mb, ma))
+        return most * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+    pairs = materialize(pairs, "pairs").join(named("a"), "a").join(named("b"), "b").where(possible("na", "nb", "ma", "mb"))
+    pairs = materialize(pairs.drop("ma", "mb"), "pairs")
 
     state: dict = {"labels": None, "sets": None}
 
@@ -206,11 +235,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         now = keys if labels is None else keys.join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
         now = now.withColumn("label", F.coalesce("label", "c")) if labels is not None else now.withColumn("label", F.col("c"))
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where((F.col("lo") < F.col("hi")) & (F.col("k") > done + 1)).select("key")
-        open_ = materialize(now.join(mixed, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c"))), "open")
+        ranked = now.join(mixed, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c")))
+        open_ = materialize(ranked.join(maps, "c"), "open")
         if open_.isEmpty():
             break
-        lead = open_.where((F.col("r") > done) & (F.col("r") <= done + step)).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("r").alias("ra"))
-        rest = open_.join(lead, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized("n", "na"))
+        lead = open_.where((F.col("r") > done) & (F.col("r") <= done + step)).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("r").alias("ra"), F.col("map").alias("ma"))
+        rest = open_.join(lead, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized("n", "na") & possible("na", "n", "ma", "map"))
         compare(rest.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct())
         done, step = done + step, step * 4
 
