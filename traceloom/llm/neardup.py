@@ -10,7 +10,7 @@ groups also connect through other members.
 Equal sets are one class, and classes alone are compared. A group value that one class
 alone has cannot be part of a shared key and goes before keys are formed. In each bucket
 leaders are compared with the other members: first the smallest class alone, then, only
-in buckets that still hold several components, 4, 16, 64, ... more, until each pair of a
+in buckets that still hold several components, 256, 4096, ... more, until each pair of a
 bucket is in one component or has been compared. Pairs are verified on the full sets.
 Before that a bitmap of ``MAP_BITS`` hashed shingles a class bounds their intersection
 from above: a bit that one map has alone stands for a shingle that is not shared. The
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     compare(first.select((-F.col("p.a")).alias("a"), "b", F.col("p.na").alias("na"), F.col("p.nb").alias("nb")))
     compare(apart(pairs.select("a", "b", "na", "nb")))
     # further leaders where a bucket still holds several components
-    done, step = 1, 4
+    done, step = 1, 256
     while True:
         labels = state["labels"]
         now = keys if labels is None else keys.join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         lead = open_.where((F.col("r") > done) & (F.col("r") <= done + step)).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("r").alias("ra"), F.col("map").alias("ma"))
         rest = open_.join(lead, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized("n", "na") & possible("na", "n", "ma", "map"))
         compare(rest.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct())
-        done, step = done + step, step * 4
+        done, step = done + step, step * 16
 
     reps = classes.select("c", "h1", "h2", "rep")
     if state["labels"] is not None:
