@@ -34,9 +34,9 @@ from .common import materialize, read, release_shuffles, shuffle_partitions
 from .hashing import chunks, hash_chunk, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 #: Characters of text for each hash partition, at most.
-PARTITION_CHARS = 24_000_000
+PARTITION_CHARS = 12_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
