@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .hashing import chunks, hash_chunk, mix
 
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 16_000
 BITS = 18
 EPOCHS = 12
 #: Documents whose P(grade >= the best grade) is at least this are kept.
@@ -153,14 +153,25 @@ def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", i
                 bucket, value = bucket[order].astype(np.int32), value[order].astype(np.float32)
                 yield pd.DataFrame({"id": ids[a:b], "grade": grades[a:b], "b": [bucket[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], "v": [value[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]})
 
-    got = sample.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sparse, "id string, grade double, b binary, v binary")
-    # the bounded sample's sparse rows; in an order of their own, so that runs agree
-    got = sorted(got.collect(), key=lambda r: (r["id"] or "", bytes(r["b"])))
-    model = CumulativeLink({r["grade"] for r in got}, bits)
-    buckets = [np.frombuffer(r["b"], np.int32) for r in got]
-    start = np.cumsum([0, *map(len, buckets)])[:-1] if got else np.zeros(0, int)
-    place = {g: i for i, g in enumerate(model.grades)}
-    return model.fit(start, np.concatenate(buckets) if got else np.zeros(0, np.int32), np.concatenate([np.frombuffer(r["v"], np.float32) for r in got]) if got else np.zeros(0), np.array([place[r["grade"]] for r in got], int))
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        # in an order of its own, so that runs agree
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["id"].iloc[i] or "", pdf["b"].iloc[i]))]
+        model = CumulativeLink(set(pdf["grade"]), bits)
+        buckets = [np.frombuffer(x, np.int32) for x in pdf["b"]]
+        start = np.cumsum([0, *map(len, buckets)])[:-1]
+        place = {g: i for i, g in enumerate(model.grades)}
+        y = np.array([place[g] for g in pdf["grade"]], int)
+        model.fit(start, np.concatenate(buckets), np.concatenate([np.frombuffer(x, np.float32) for x in pdf["v"]]), y)
+        return pd.DataFrame({"w": [model.w.astype(np.float32).tobytes()], "theta": [model.theta.tobytes()], "grades": [model.grades.tobytes()]})
+
+    rows = sample.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sparse, "id string, grade double, b binary, v binary")
+    # the sample is bounded, and so one task can fit it; the weights alone come to the driver
+    got = rows.groupBy(F.lit("sample").alias("all")).applyInPandas(train, "w binary, theta binary, grades binary").first()
+    if got is None:
+        return CumulativeLink([], bits)
+    model = CumulativeLink(np.frombuffer(got["grades"]), bits)
+    model.w, model.theta = np.frombuffer(got["w"], np.float32).copy(), np.frombuffer(got["theta"]).copy()
+    return model
 
 
 def score(docs: DataFrame, model: CumulativeLink, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",), threshold: float = KEEP) -> DataFrame:
