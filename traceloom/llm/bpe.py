@@ -25,7 +25,7 @@ from .common import read
 #: Texts are taken together up to so many characters.
 CHUNK_CHARS = 1 << 20
 #: Words of a generation that a worker remembers, and their characters at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
 
 
@@ -70,7 +70,7 @@ class Merger:
         self.pairs: dict[int, int] = {}
 
     def _rank(self, key: int) -> int:
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         r = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
         return r

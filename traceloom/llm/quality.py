@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .hashing import chunks, hash_chunk, mix
 
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 8_000
 BITS = 18
 EPOCHS = 12
 #: Documents whose P(grade >= the best grade) is at least this are kept.
@@ -157,11 +157,13 @@ def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", i
         # in an order of its own, so that runs agree
         pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["id"].iloc[i] or "", pdf["b"].iloc[i]))]
         model = CumulativeLink(set(pdf["grade"]), bits)
-        buckets = [np.frombuffer(x, np.int32) for x in pdf["b"]]
-        start = np.cumsum([0, *map(len, buckets)])[:-1]
         place = {g: i for i, g in enumerate(model.grades)}
         y = np.array([place[g] for g in pdf["grade"]], int)
-        model.fit(start, np.concatenate(buckets), np.concatenate([np.frombuffer(x, np.float32) for x in pdf["v"]]), y)
+        start = np.cumsum([0, *(len(x) // 4 for x in pdf["b"])])[:-1]
+        bucket = np.frombuffer(b"".join(pdf["b"]), np.int32)
+        value = np.frombuffer(b"".join(pdf["v"]), np.float32)
+        del pdf
+        model.fit(start, bucket, value, y)
         return pd.DataFrame({"w": [model.w.astype(np.float32).tobytes()], "theta": [model.theta.tobytes()], "grades": [model.grades.tobytes()]})
 
     rows = sample.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sparse, "id string, grade double, b binary, v binary")
