@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read, slices
 
 #: Texts are taken together up to so many characters.
 CHUNK_CHARS = 1 << 20
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             others = batch.select(list(range(batch.num_columns - 1)))
             for a, b, texts in text_runs(batch.column(batch.num_columns - 1).to_pylist()):
                 ids, counts = encoder.encode(texts)
@@ -283,16 +283,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
             by_id[r] = b
         lens = np.fromiter(map(len, by_id), np.int64, len(by_id))
         flat = np.frombuffer(b"".join(by_id), np.uint8)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                column = batch.column(batch.num_columns - 1)
-                counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                data, each = gather(flat, lens, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                ends = np.concatenate([[0], np.cumsum(each)])
-                offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                texts = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "_out"])
+        for batch in slices(batches, 256):
+            column = batch.column(batch.num_columns - 1)
+            counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            data, each = gather(flat, lens, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum(each)])
+            offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            texts = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "_out"])
 
     out = narrow.mapInArrow(run, ", ".join([*fields, "_out binary"]))
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_out").alias(out_col))
@@ -309,6 +307,8 @@ def digest(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     ranks, pattern = default_vocabulary()
     ids = encode(docs, ranks, pattern)
     ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    # written out between the two, so that an executor has workers for one of them at a time
+    ids = materialize(ids, "ids")
     keep = ("doc_id", "n_tokens", "ids_sha256", *(("ids",) if with_ids else ()))
     both = decode(ids, ranks, keep=keep)
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *keep[3:])

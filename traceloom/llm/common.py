@@ -40,6 +40,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that few texts at a time are Python objects."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished jobs that nothing refers to any more."""
     for _ in range(2):  # the cleaner learns of dropped references from the JVM's collector, a little later

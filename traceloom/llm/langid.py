@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1200
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 30_000
 LONGEST = 5

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, slices
 from .components import components
 from .hashing import chunks, hash_chunk, mix
 
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for a, b, held in chunks(batch.column(1).to_pylist(), lower=True):
                 sets, counts = shingle_sets(held, shingle)
                 h1, h2, groups = _sketch(sets, counts)
@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("id") == F.col("_rep"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for a, b, held in chunks(batch.column(1).to_pylist(), lower=True):
                 sets, counts = shingle_sets(held, shingle)
                 h1, h2, _ = _sketch_hashes(sets, counts)

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, slices
 from .hashing import chunks, hash_chunk, mix
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 12_000
 BITS = 18
 EPOCHS = 12
 #: Documents whose P(grade >= the best grade) is at least this are kept.
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: CumulativeLink, *, text_col: str = "text", kee
         w, theta, grades = shared.value
         link = CumulativeLink(grades, 1)
         link.theta = theta
-        for batch in batches:
+        for batch in slices(batches):
             others = batch.select(list(range(batch.num_columns - 1)))
             for a, b, row, bucket, value in features(batch.column(batch.num_columns - 1).to_pylist(), bits):
                 s = np.bincount(row, w[bucket] * value, b - a)
