@@ -2,7 +2,7 @@
 
 A word that the model knows is scored by its log frequency in each language. A word that
 it does not know falls back to its character n-grams, the longest first: each position
-takes the longest known n-gram that starts there, at a discount for each step down.
+takes the longest known n-gram that starts there.
 
 The model is fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows a language at
 most in expectation, taken by a hash of the id; it keeps ``MODEL_WORDS`` words and
@@ -12,7 +12,6 @@ crc32(id as text) mod 5 = 0, are never learnt from.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +27,6 @@ SAMPLE_ROWS = 1200
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 30_000
 LONGEST = 5
-#: Log discount of each step to a shorter n-gram, and of leaving words for n-grams.
-STEP = math.log(0.4)
 #: Words whose scores a task remembers.
 CACHE_WORDS = 200_000
 
@@ -92,42 +89,57 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 class Scorer:
+    """Scores texts; words' scores are rows of one table, which starts anew when it is full."""
+
     def __init__(self, model: dict):
-        self.model, self.cache = model, {}
-        self.zero = np.zeros(len(model["langs"]), np.float32)
+        self.model = model
+        n = len(model["langs"])
+        rows, self.grams = [np.zeros((0, n), np.float32)], {}
+        for k, table in sorted(model["grams"].items()):
+            for g, v in table.items():
+                self.grams[g] = len(self.grams)
+                # shifted to a maximum of 0: only differences count; single characters say little
+                rows.append(((v - v.max()) * (1.0 if k > 1 else 0.5))[None, :])
+        self.gram_rows = np.concatenate(rows)
+        self.rows = np.zeros((CACHE_WORDS, n), np.float32)
+        self.place: dict[str, int] = {}
 
     def word(self, w: str) -> np.ndarray:
-        """Log score of a word in each language; shifted to a maximum of 0, so that only differences count."""
+        """Log score of a word in each language, shifted to a maximum of 0."""
         known = self.model["words"].get(w)
         if known is None:
-            known, grams, n = self.zero.copy(), self.model["grams"], 0
+            grams, at = self.grams, []
             padded = f" {w[:200]} "
             for i in range(len(padded) - 1):
-                for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                    g = grams.get(k, {}).get(padded[i : i + k])
+                for k in range(LONGEST, 0, -1):
+                    g = grams.get(padded[i : i + k])
                     if g is not None:
-                        known += g - g.max() if k > 1 else (g - g.max()) * 0.5
-                        n += 1
+                        at.append(g)
                         break
-            known = known * (2.0 / max(n, 2))
+            known = self.gram_rows[at].sum(0) * (2.0 / max(len(at), 2))
         return known - known.max()
 
+    def _places(self, words: Counter) -> np.ndarray:
+        place = self.place
+        new = [w for w in words if w not in place]
+        if len(place) + len(new) > len(self.rows):
+            place.clear()
+            new = list(words)
+            if len(new) > len(self.rows):
+                self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
+        for w in new:
+            self.rows[len(place)] = self.word(w)
+            place[w] = len(place)
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the likelihood; ``und``, 0.0 for text without letters."""
         text = text if isinstance(text, str) else ""
         words = Counter(words_of(text))
         if not self.model["langs"] or not any(ch.isalpha() for w in words for ch in w):
             return "und", 0.0
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        vectors = []
-        for w in words:
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = self.word(w)
-            vectors.append(v)
-        total = np.array(list(words.values()), float) @ np.array(vectors, float) + self.model["prior"]
+        times = np.fromiter(words.values(), float, len(words))
+        total = times @ self.rows[self._places(words)] + self.model["prior"]
         best = int(total.argmax())
         return self.model["langs"][best], float(1.0 / np.exp(np.clip(total - total[best], -50, 0)).sum())
 
