@@ -104,20 +104,37 @@ class Scorer:
         self.rows = np.zeros((CACHE_WORDS, n), np.float32)
         self.place: dict[str, int] = {}
 
-    def word(self, w: str) -> np.ndarray:
-        """Log score of a word in each language, shifted to a maximum of 0."""
-        known = self.model["words"].get(w)
-        if known is None:
-            grams, at = self.grams, []
-            padded = f" {w[:200]} "
-            for i in range(len(padded) - 1):
-                for k in range(LONGEST, 0, -1):
-                    g = grams.get(padded[i : i + k])
-                    if g is not None:
-                        at.append(g)
-                        break
-            known = self.gram_rows[at].sum(0) * (2.0 / max(len(at), 2))
-        return known - known.max()
+    def _grams(self, w: str) -> list[int]:
+        """The longest known n-gram at each position."""
+        grams, at = self.grams, []
+        padded = f" {w[:200]} "
+        for i in range(len(padded) - 1):
+            for k in range(LONGEST, 0, -1):
+                g = grams.get(padded[i : i + k])
+                if g is not None:
+                    at.append(g)
+                    break
+        return at
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log scores of words in each language, shifted to a maximum of 0."""
+        known = self.model["words"]
+        out = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        flat: list[int] = []
+        unseen, ends = [], []
+        for i, w in enumerate(words):
+            v = known.get(w)
+            if v is not None:
+                out[i] = v
+            elif at := self._grams(w):
+                flat += at
+                unseen.append(i)
+                ends.append(len(flat))
+        if unseen:
+            starts = np.array([0, *ends[:-1]])
+            sums = np.add.reduceat(self.gram_rows[flat], starts, axis=0)
+            out[unseen] = sums * (2.0 / np.maximum(np.array(ends) - starts, 2))[:, None]
+        return out - out.max(1, keepdims=True)
 
     def _places(self, words: Counter) -> np.ndarray:
         place = self.place
@@ -127,9 +144,10 @@ class Scorer:
             new = list(words)
             if len(new) > len(self.rows):
                 self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
-        for w in new:
-            self.rows[len(place)] = self.word(w)
-            place[w] = len(place)
+        if new:
+            at = len(place)
+            self.rows[at : at + len(new)] = self.scores(new)
+            place.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
