@@ -20,7 +20,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 #: Texts are hashed together up to about so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def _power(base: int, n: int) -> np.ndarray:
