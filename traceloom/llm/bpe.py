@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read, slices
 
 #: Texts are taken together up to so many characters.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Words of a generation that a worker remembers, and their characters at most.
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
