@@ -8,7 +8,7 @@ from traceloom.plans.catalogue import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("conversations", "events", "documents", "pages", "labels"):

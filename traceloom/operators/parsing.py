@@ -1,0 +1,140 @@
+"""Log lines to messages, tool calls and session rows.
+
+Input is ``session_id, line_no, line``. A line that is no JSON object is skipped. Order is
+that of ``line_no``: the first and last times are those first and last in the file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_BLOCKS = "array<struct<type string, text string, name string, input string>>"
+_ENTRY = ("type string, message struct<role string, content string, model string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint,"
+          " cache_creation_input_tokens bigint>>, content string, timestamp string, sessionId string, cwd string, gitBranch string, uuid string, parentUuid string")
+
+
+def _filled(c: Column) -> Column:
+    """Null where the text is empty."""
+    return F.nullif(c, F.lit(""))
+
+
+def _is_array(c: Column) -> Column:
+    return F.coalesce(F.ltrim(c).startswith("["), F.lit(False))
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """Parsed lines of the first kind of log, ``e``; ``raw_array`` tells whether the content is a list of blocks."""
+    parsed = lines.where(F.ltrim("line").startswith("{")).withColumn("e", F.from_json("line", _ENTRY))
+    kind = F.get_json_object("line", "$.message.content")
+    return parsed.where("e is not null").withColumn("raw_array", _is_array(kind) & F.from_json(kind, _BLOCKS).isNotNull())
+
+
+def messages(parsed: DataFrame) -> DataFrame:
+    """``session_id, line_no, role, content, ts, blocks, input_tokens, output_tokens`` of user and assistant entries.
+
+    A user's list of blocks counts with empty content; an assistant's text blocks are
+    joined, and its plain string is empty.
+    """
+    e = F.col("e")
+    blocks = F.when(F.col("raw_array"), F.from_json(e["message"]["content"], _BLOCKS))
+    text = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
+    user = e["message"]["role"] == "user"
+    rows = parsed.where(e["type"].isin("user", "assistant") & (e["type"] == e["message"]["role"]))
+    usage = e["message"]["usage"]
+    return rows.select(
+        "session_id", "line_no", e["type"].alias("role"),
+        F.when(user, F.when(F.col("raw_array"), "").otherwise(F.coalesce(e["message"]["content"], F.lit("")))).otherwise(F.coalesce(text, F.lit(""))).alias("content"),
+        F.coalesce(e["timestamp"], F.lit("")).alias("ts"), F.when(~user, blocks).alias("blocks"), e["uuid"].alias("uuid"),
+        F.coalesce(usage["input_tokens"], F.lit(0)).alias("input_tokens"), F.coalesce(usage["output_tokens"], F.lit(0)).alias("output_tokens"),
+    )
+
+
+def results(parsed: DataFrame) -> DataFrame:
+    """The last non-empty tool result for each parent entry."""
+    e = F.col("e")
+    rows = parsed.where((e["type"] == "tool_result") & _filled(e["content"]).isNotNull())
+    return rows.groupBy("session_id", e["parentUuid"].alias("uuid")).agg(F.max_by(e["content"], F.col("line_no")).alias("output"))
+
+
+def tool_calls(parsed: DataFrame) -> DataFrame:
+    """``session_id, line_no, tool_idx, name, input, output``: each ``tool_use`` block, with its entry's result."""
+    used = F.filter("blocks", lambda b: b["type"] == "tool_use")
+    calls = messages(parsed).where("role = 'assistant'").select("session_id", "line_no", "uuid", F.posexplode(used).alias("tool_idx", "b"))
+    out = calls.join(results(parsed), ["session_id", "uuid"], "left")
+    return out.select("session_id", "line_no", "tool_idx", F.col("b.name").alias("name"), F.col("b.input").alias("input"), F.coalesce("output", F.lit("")).alias("output"))
+
+
+def sessions(parsed: DataFrame) -> DataFrame:
+    """One row a session: header, first and last time, counts, token sums, tools and files as first seen."""
+    e, at = F.col("e"), F.col("line_no")
+
+    def first(c: Column, last: bool = False) -> Column:
+        return (F.max_by if last else F.min_by)(_filled(c), F.when(_filled(c).isNotNull(), at))
+
+    head = parsed.groupBy("session_id").agg(
+        F.coalesce(first(e["sessionId"]), F.lit("unknown")).alias("log_id"), F.coalesce(first(e["cwd"]), F.lit("unknown")).alias("project"), F.coalesce(first(e["gitBranch"]), F.lit("unknown")).alias("branch"),
+        F.coalesce(first(e["timestamp"]), F.lit("")).alias("started_at"), F.coalesce(first(e["timestamp"], True), F.lit("")).alias("ended_at"),
+    )
+    said = messages(parsed).groupBy("session_id").agg(
+        F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+    )
+    calls = messages(parsed).select("session_id", "line_no", F.posexplode(F.filter("blocks", lambda b: b["type"] == "tool_use")).alias("k", "b"))
+    file = _filled(F.get_json_object("b.input", "$.file_path"))
+    calls = calls.select("session_id", F.struct("line_no", "k").alias("o"), F.col("b.name").alias("tool"), F.when(F.col("b.name").isin("Write", "Edit"), file).alias("file"))
+    # a row for each distinct tool and file first, so that what is gathered is small
+    seen = calls.select("session_id", "o", F.inline(F.array(F.struct(F.lit("tool").alias("kind"), F.col("tool").alias("v")), F.struct(F.lit("file").alias("kind"), F.col("file").alias("v")))))
+    distinct = seen.groupBy("session_id", "kind", "v").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("v is not null")
+    row = F.struct("o", "v")
+    tools = distinct.groupBy("session_id").agg(
+        F.sum(F.when(F.col("kind") == "tool", F.col("n"))).alias("tool_calls"),
+        *(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, row))), lambda x: x["v"]).alias(name) for k, name in (("tool", "unique_tools"), ("file", "files_modified"))),
+    )
+    none = F.array().cast("array<string>")
+    both = head.join(said, "session_id", "left").join(tools, "session_id", "left")
+    counts = ("user_messages", "assistant_messages", "input_tokens", "output_tokens", "tool_calls")
+    return both.select("session_id", "log_id", "project", "branch", "started_at", "ended_at", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts),
+                       *(F.coalesce(F.col(c), none).alias(c) for c in ("unique_tools", "files_modified")))
+
+
+_CODEX = "timestamp string, type string, payload string"
+
+
+def codex_entries(lines: DataFrame) -> DataFrame:
+    """Parsed lines of the second kind of log: ``ts, type, payload`` (JSON text)."""
+    rows = lines.where(F.ltrim("line").startswith("{")).withColumn("e", F.from_json("line", _CODEX)).where("e.type is not null")
+    return rows.select("session_id", "line_no", F.coalesce("e.timestamp", F.lit("")).alias("ts"), F.col("e.type").alias("type"), F.col("e.payload").alias("payload"))
+
+
+def _field(name: str) -> Column:
+    return F.get_json_object("payload", f"$.{name}")
+
+
+def codex_messages(parsed: DataFrame) -> DataFrame:
+    """Response items other than calls and reasoning; an unknown role is the assistant's, empty ones of others go."""
+    kept = parsed.where("type = 'response_item'").where(~F.coalesce(_field("type"), F.lit("")).isin("function_call", "web_search_call", "reasoning"))
+    blocks = F.filter(F.from_json(_field("content"), _BLOCKS), lambda b: b["type"].isin("output_text", "input_text", "text"))
+    text = F.coalesce(F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), ""), F.lit(""))
+    role = F.when(_field("role").isin("user", "developer"), _field("role")).otherwise("assistant")
+    return kept.select("session_id", "line_no", role.alias("role"), text.alias("content"), "ts").where("role = 'assistant' or content <> ''")
+
+
+def codex_calls(parsed: DataFrame) -> DataFrame:
+    """Calls with name and arguments; arguments that are no JSON become ``{"raw": ...}``."""
+    kept = parsed.where("type = 'response_item'").where(_field("type").isin("function_call", "web_search_call"))
+    given = F.coalesce(_field("arguments"), F.lit("{}"))
+    sound = F.try_parse_json(given)
+    args = F.when(sound.isNotNull(), given).otherwise(F.to_json(F.struct(given.alias("raw"))))
+    return kept.select("session_id", F.col("line_no").alias("ord"), F.coalesce(_filled(_field("name")), _field("type")).alias("name"), args.alias("input"), "ts")
+
+
+def codex_sessions(parsed: DataFrame) -> DataFrame:
+    """Header of the first ``session_meta`` and sums of the token counts."""
+    meta, count = F.col("type") == "session_meta", (F.col("type") == "event_msg") & (_field("type") == "token_count")
+    at = F.when(meta, F.col("line_no"))
+    get = lambda k: F.coalesce(F.coalesce(_field(f"info.{k}"), _field(k)).cast("long"), F.lit(0))
+    return parsed.groupBy("session_id").agg(
+        F.coalesce(_filled(F.min_by(_field("id"), at)), F.lit("unknown")).alias("log_id"), F.coalesce(_filled(F.min_by(_field("cwd"), at)), F.lit("unknown")).alias("project"),
+        F.coalesce(F.sum(F.when(count, get("input_tokens"))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(F.when(count, get("output_tokens"))), F.lit(0)).alias("output_tokens"),
+    )

@@ -150,9 +150,9 @@ _SP = r"[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205
 _FM = rf"regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x{{9f}}]', ' ', 'g'), '{_SP}+', ' ', 'g'), '^ | $', '', 'g')"
 _text_query("frontmatter_value", T.frontmatter_value, _FM, "value")
 _KEBAB = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-_K40 = _KEBAB.format("text[1:40]")
-_text_query("kebab_name", lambda c: T.kebab_name(F.substring(c, 1, 40), "untitled"), f"CASE WHEN regexp_full_match({_K40}, '[a-z][a-z0-9]*(-[a-z0-9]+)*') AND length({_K40}) <= 64 THEN {_K40} ELSE 'untitled' END", "name")
-_text_query("titleize", lambda c: T.titleize(T.kebab_chars(F.substring(c, 1, 40))), f"array_to_string(list_transform(string_split({_K40}, '-'), lambda w: upper(w[1:1]) || w[2:]), ' ')", "title")
+_KEB = _KEBAB.format("text[1:256]")
+_text_query("kebab_name", lambda c: T.kebab_name(c, "untitled"), f"CASE WHEN regexp_full_match({_KEB}, '[a-z][a-z0-9]*(-[a-z0-9]+)*') AND length({_KEB}) <= 64 THEN {_KEB} ELSE 'untitled' END", "name")
+_text_query("titleize", lambda c: T.titleize(T.kebab_chars(c)), f"array_to_string(list_transform(string_split({_KEB}, '-'), lambda w: upper(w[1:1]) || w[2:]), ' ')", "title")
 _FN = "regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]', '-', 'g')[1:100], '^[-.]+', '')"
 _text_query("skill_filename", lambda c: T.file_name(c, "skill"), f"CASE WHEN {_FN} = '' THEN 'skill' ELSE {_FN} END", "file")
 _CUT = r"CASE WHEN regexp_matches(text[1:100], '[ \n;,)]') THEN length(regexp_extract(text[1:100], '(?s)^(.*)[ \n;,)]', 1)) ELSE -1 END"
@@ -165,3 +165,6 @@ _text_query("strip_comments", T.strip_comments, "regexp_replace(html, '(?s)<!--.
 _text_query("anonymize_url_path", lambda c: T.base_name(c), "string_split(url, '/')[-1]", "name", "pages", "page_id", "url")
 _text_query("project_slug", T.project_slug, "regexp_replace(lower(string_split(url, '/')[-1]), '[^a-z0-9]+', '-', 'g')", "slug", "pages", "page_id", "url")
 _text_query("fixture_checks", lambda c: T.contains_ci(c, "THE") & ~T.contains_ci(c, "token"), "contains(lower(text), 'the') AND NOT contains(lower(text), 'token')", "passed")
+
+
+from . import logs  # noqa: E402, F401  (registers its queries here)

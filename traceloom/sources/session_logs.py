@@ -1,0 +1,71 @@
+"""Session logs as tables: catalogue, lines, documents, and append-only event files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Fixed limits: bytes of a session, characters of a line, bytes of a document.
+MAX_SESSION_BYTES = 50 * 1024 * 1024
+MAX_LINE_CHARS = 1024 * 1024
+MAX_DOCUMENT_BYTES = 64 * 1024
+
+
+def catalog(spark: SparkSession, root: str, agent: str, recursive: bool = False) -> DataFrame:
+    """``session_id, agent, path, modified_at, size_bytes`` of the ``*.jsonl`` files; contents are not read.
+
+    Files lie two levels deep, or at any depth where ``recursive``.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
+    files = reader.option("recursiveFileLookup", "true").load(root) if recursive else reader.load(f"{root.rstrip('/')}/*")
+    name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    return files.select(name.alias("session_id"), F.lit(agent).alias("agent"), "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"))
+
+
+def newest(sessions: DataFrame, limit: int = 20) -> DataFrame:
+    """The last modified sessions first; ties by path."""
+    return sessions.orderBy(F.desc("modified_at"), "path").limit(limit)
+
+
+def lookup(sessions: DataFrame, wanted: str) -> DataFrame:
+    """``latest``, or the newest session among 100 whose id begins with ``wanted``."""
+    top = newest(sessions, 100)
+    return newest(top if wanted == "latest" else top.where(F.col("session_id").startswith(F.lit(wanted))), 1)
+
+
+def within(sessions: DataFrame, low: int = 0, high: int = MAX_SESSION_BYTES) -> DataFrame:
+    """Sessions of a size between the two, both included."""
+    return sessions.where(F.col("size_bytes").between(low, high))
+
+
+def numbered(lines: Column, most: int = MAX_LINE_CHARS) -> Column:
+    """Lines with their numbers; longer ones are left out."""
+    pairs = F.transform(F.split(lines, "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    return F.filter(pairs, lambda p: F.length(p["line"]) <= most)
+
+
+def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, line_no, line`` of log files. A file is one row first, so sizes are to be checked with ``within``."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v"))
+    return whole.select("path", F.inline(numbered(F.col("v"))))
+
+
+def documents(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
+    """``path, text`` of the Markdown files of a flat folder: the first ``most`` entries by path, small ones only."""
+    every = spark.read.format("binaryFile").load(folder).select("path", "length", "content")
+    first = every.orderBy("path").limit(most).where(F.col("path").endswith(".md") & (F.col("length") <= MAX_DOCUMENT_BYTES))
+    return first.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def append_events(events: DataFrame, folder: str) -> None:
+    """Appends events as JSON lines."""
+    events.write.mode("append").json(folder)
+
+
+def created_events(skills: DataFrame) -> DataFrame:
+    """An event a document ``name, session_id, agent, ts``; ids come from the row, so reruns agree."""
+    key = F.sha2(F.concat_ws("\x1f", "session_id", "name"), 256)
+    return skills.select(
+        F.lit("0.1").alias("schema_version"), F.concat(F.lit("evt_"), F.substring(key, 1, 12)).alias("event_id"), F.concat(F.lit("run_"), F.substring("session_id", 1, 8)).alias("run_id"),
+        "ts", F.lit("skill_created").alias("type"), F.col("agent").alias("agent_name"), F.create_map(F.lit("name"), F.col("name")).alias("attrs"),
+    )
