@@ -82,6 +82,36 @@ def test_similar(spark):
     assert abs(similarity.jaro_winkler("martha", "marhta") - 0.9611111) < 1e-6 and abs(similarity.jaro_winkler("dixon", "dicksonx") - 0.8133333) < 1e-6
 
 
+def test_similar_within(spark, monkeypatch):
+    import random
+
+    from traceloom.plans.catalogue import QUERIES
+
+    rnd = random.Random(5)
+    words = ["martha", "marhta", "MARTHA", "", None, "a", "ab", "İstanbul is", "istanbul is", "x" * 600, "x" * 512 + "y"]
+    words += ["".join(rnd.choice("abcdé xyz") for _ in range(rnd.choice((3, 9, 40, 200, 512)))) for _ in range(60)]
+    words += [words[40], words[41][:-1] + "q"]
+    rows = [(i, w) for i, w in enumerate(words)] + [(None, "martha")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    monkeypatch.setattr(similarity, "BLOCK", 12)  # several blocks
+    for least in (0.6, 0.8):
+        got = {(r.id, r.other_id): r.similarity for r in similarity.similar_within(df, least).collect()}
+        short = [(i, (w or "")[:512]) for i, w in rows if i is not None]
+        every = {(i, j): similarity.jaro_winkler(a, b) for i, a in short for j, b in short if i != j and a and b}
+        assert got == {k: v for k, v in every.items() if v >= least}
+    monkeypatch.setattr(similarity, "CELLS", 64)
+    assert [len(b.size) for _, b in similarity._parts(["abcdefgh"] * 16)] == [8, 8]
+    monkeypatch.undo()
+    # the registered query takes in all documents
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    from traceloom.functions.text import frontmatter_value
+
+    cut = {r.doc_id: r.t[:512] for r in spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", frontmatter_value(F.col("text")).alias("t")).collect() if r.t}
+    got = {(r.id, r.other_id) for r in QUERIES["similar_descriptions"](spark, "/root/testdata/sf0.001").collect()}
+    some = sorted(cut)[:12]
+    assert {p for p in got if p[0] in some} == {(i, j) for i in some for j in cut if i != j and similarity.jaro_winkler(cut[i], cut[j]) >= 0.8}
+
+
 def test_log_files(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "s1.jsonl").write_text("a\n" + "x" * 30 + "\nb\n")

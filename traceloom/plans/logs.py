@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import frontmatter_value
 from ..functions.tool_lines import tool_line
 from ..operators import documents as D
 from ..operators import parsing, redaction, similarity
@@ -124,3 +125,9 @@ def similar_names(spark, d):
     names = table(spark, d, "nation")
     pairs = similarity.similar(names.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text")), names.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text")), 0.7)
     return pairs.where("id <> other_id").select("id", "other_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def similar_descriptions(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), frontmatter_value(F.col("text")).alias("text"))
+    return similarity.similar_within(rows, 0.8).select("id", "other_id", F.round("similarity", 9).alias("similarity"))
