@@ -112,6 +112,39 @@ def test_similar_within(spark, monkeypatch):
     assert {p for p in got if p[0] in some} == {(i, j) for i in some for j in cut if i != j and similarity.jaro_winkler(cut[i], cut[j]) >= 0.8}
 
 
+def test_mining_of_logs(spark):
+    import json
+
+    from traceloom.functions import text as T
+    from traceloom.operators import mining
+
+    build = "Please fix the build of the parser in this project"
+    cases = {  # first message, files, tool calls, seconds, project: tier, label, reason
+        "build": (build, ["/a/x.PY"], 5, 600, "/u/Projects/p", "A", "distillable", "focused build/fix session"),
+        "plan": ("Execute the <b>plan</b> that we have agreed on", ["/a/x.go"], 5, 600, "/u/p", "B", "distillable", "focused plan-execution session"),
+        "talk": ("HABLEMOS de lo que tenemos que hacer con el proyecto", ["/a/x.ts"], 5, 600, "/u/Projects/p", "A", "not", "conversational intent"),
+        "brief": ("hablemos de esto un rato", ["/a/x.ts"], 5, 600, "/u/Projects/p", "A", "distillable", "focused build/fix session"),
+        "config": (build, ["/a/x.yaml"], 5, 600, "/u/Projects/p", "B", "distillable", "focused build/fix session"),
+        "slash": ("<command-name>/go and do very much of it</command-name> hi", ["/a/x.ts"], 5, 600, "/u/Projects/p", "C", "distillable", "focused build/fix session"),
+        "review": (build, ["/a/x.md"], 3, 40, "/u/p", "B", "review", "tools=3 out-of-range, dur=40s out-of-range, no-code-file"),
+    }
+    lines = []
+    for k, (say, files, tools, seconds, project, *_) in cases.items():
+        uses = [{"type": "tool_use", "name": "Write", "input": {"file_path": f}} for f in files] + [{"type": "tool_use", "name": "Bash", "input": {}}] * (tools - len(files))
+        lines.append((k, 0, json.dumps({"type": "user", "timestamp": "2026-01-01T00:00:00.000Z", "cwd": project, "message": {"role": "user", "content": say}})))
+        lines.append((k, 1, json.dumps({"type": "assistant", "timestamp": f"2026-01-01T00:{seconds // 60:02}:{seconds % 60:02}.000Z", "message": {"role": "assistant", "content": uses}})))
+    lines.append(("empty", 0, json.dumps({"type": "summary"})))
+    parsed = parsing.entries(spark.createDataFrame(lines, "session_id string, line_no int, line string"))
+    got = {r.session_id: (r.tier, r.label, r.reason) for r in mining.classify(mining.score(mining.sessions_of_logs(parsed))).collect()}
+    assert got == {k: v[5:] for k, v in cases.items()}
+    texts = ["a <!-<!-- x -->- y --> b", "<<b>i>  c\n d --!> e<", None, "x <system-reminder>q\n</system-reminder> " + "y" * 400]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(T.clean_intent(F.col("t"))).collect()][:3] == ["a b", "i> c d e<", None]
+    assert rows.select(T.short_message(F.col("t"))).collect()[3][0] == "x " + "y" * 298 + "…"
+    said = spark.createDataFrame([("ejecutá",), ("ejecutáx",), ("corré el plan",), ("corré el plano",)], "t string")
+    assert [r[0] for r in said.select(F.col("t").rlike(mining.EXECUTION)).collect()] == [False, True, True, False]
+
+
 def test_log_files(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "s1.jsonl").write_text("a\n" + "x" * 30 + "\nb\n")

@@ -1,9 +1,12 @@
-"""Scalar text functions, ``Column -> Column``, all native. Lengths are code points."""
+"""Scalar text functions, ``Column -> Column``, native but for ``clean_intent``. Lengths are code points."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 CONTROLS = r"[\x00-\x1f\x7f-\x9f]"
 SPACE = r"[\s ﻿  -     　]"
@@ -101,3 +104,52 @@ def flatten_fences(c: Column) -> Column:
 
 def contains_ci(c: Column, part: str) -> Column:
     return F.contains(F.lower(c), F.lit(part.lower()))
+
+
+_TAGS = ("local-command-caveat", "local-command-stdout", "command-name", "command-message", "command-args", "system-reminder", "user-prompt-submit-hook")
+
+
+def strip_boilerplate(c: Column) -> Column:
+    """Without the blocks that commands, hooks and reminders put into a message, ends trimmed."""
+    for tag in _TAGS:
+        c = F.regexp_replace(c, f"(?s)<{tag}>.*?</{tag}>", "")
+    return trim(c)
+
+
+def one_line(c: Column) -> Column:
+    return trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def short_message(c: Column, most: int = 300) -> Column:
+    """A message without boilerplate on one line, cut with an ellipsis."""
+    line = one_line(strip_boilerplate(c))
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+
+
+def without_markup(s: str) -> str:
+    """Comments, then lone delimiters of comments, then tags go, each until none is left."""
+    for pattern in (r"<!--[\s\S]*?--!?>", r"<!--|--!?>", r"<[^>]*>"):
+        n = 1
+        while n:
+            s, n = re.subn(pattern, "", s)
+    return s
+
+
+def clean_intent(c: Column) -> Column:
+    """``without_markup`` on one line."""
+    run = pandas_udf(lambda v: v.map(without_markup, na_action="ignore"), "string")
+    return one_line(run(c))
+
+
+_CODE = "ts|tsx|js|jsx|py|go|rs|sql|sh|rb|java|kt|swift|c|cpp|h"
+
+
+def has_code_file(files: Column, config: bool = False) -> Column:
+    """Whether one of the paths is of code; of code or ``config``."""
+    ends = rf"\.({_CODE}{'|yaml|yml|json|toml' if config else ''})\z"
+    return F.exists(files, lambda f: F.lower(f).rlike(ends))
+
+
+def slash_only(c: Column) -> Column:
+    """Whether a message says next to nothing besides its boilerplate."""
+    return F.length(strip_boilerplate(c)) < 20

@@ -5,6 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import parsing
+
+#: Boundaries are those of ASCII words, so that a final accented letter needs a letter behind it.
+CONVERSATIONAL = (
+    r"(?iu)(?<![A-Za-z0-9_])(qué opinás|que opinas|cómo va|como va|hablemos|contame|tenés acceso|entrevista|cómo invoco|luciana|juan compro|topo|cbd|florcita|hay otra terminal|otra terminal"
+    r"|volví del gimnasio|volvi del gimnasio|cuanto debía|cuanto debia|ahí volví|ahi volvi|recordás|recordas|te acordás|te acordas|cómo quedamos|como quedamos|qué tengo para hacer|que tengo para hacer"
+    r"|retomemos|como venimos|cómo venimos|charla|guardá|guarda en obsidian|cuales son las mejores|luciana constestó|constestó|cómo funcionás|como funcionas|porqué obsidian|new contributors)"
+)
+EXECUTION = r"(?iu)(?<![A-Za-z0-9_])((ejecut(á|a|ar) el plan|execute the plan|corré el plan)(?![A-Za-z0-9_])|ejecutá(?=[A-Za-z0-9_]))"
+
+
+def sessions_of_logs(parsed: DataFrame) -> DataFrame:
+    """One row a session of ``parsing.entries``, with what scores and labels need; those without messages go."""
+    user = F.when(F.col("role") == "user", F.col("line_no"))
+    first = parsing.messages(parsed).groupBy("session_id").agg(F.coalesce(F.min_by("content", user), F.lit("")).alias("first"))
+    at = lambda k: F.unix_millis(F.try_to_timestamp(F.nullif(F.col(k), F.lit(""))))
+    files = F.col("files_modified")
+    return parsing.sessions(parsed).join(first, "session_id").select(
+        "session_id", F.col("user_messages").alias("users"), F.col("tool_calls").alias("tools"), F.size(files).cast("long").alias("files"), T.has_code_file(files).alias("code"),
+        T.has_code_file(files, config=True).alias("code_or_config"), F.coalesce(F.floor((at("ended_at") - at("started_at")) / 1000 + 0.5), F.lit(0)).cast("long").alias("duration"),
+        F.col("input_tokens").alias("tokens"), F.contains("project", F.lit("/Projects/")).alias("in_projects"), T.slash_only(F.col("first")).alias("slash_only"),
+        T.clean_intent(T.short_message(F.col("first"))).alias("intent"),
+    )
+
 
 def sessions_of_events(log: DataFrame) -> DataFrame:
     """One row a session of ``sources.tables.event_log``; durations in minutes stand for seconds."""
@@ -13,7 +38,7 @@ def sessions_of_events(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "bucket").agg(
         F.count_if(~tool).alias("users"), F.count_if(tool).alias("tools"), F.countDistinct("path").alias("files"),
         F.coalesce(F.max(F.col("path").endswith(".ts")), F.lit(False)).alias("code"), F.floor(minutes + 0.5).cast("long").alias("duration"), F.sum(F.floor("value")).cast("long").alias("tokens"),
-    ).withColumns({"in_projects": F.col("user_id") % 2 == 0, "slash_only": F.col("user_id") % 5 == 0})
+    ).withColumns({"in_projects": F.col("user_id") % 2 == 0, "slash_only": F.col("user_id") % 5 == 0, "code_or_config": F.col("code"), "intent": F.lit("")})
 
 
 def _rules() -> list[tuple[Column, int, Column]]:
@@ -37,17 +62,21 @@ def score(sessions: DataFrame) -> DataFrame:
 
 
 def classify(sessions: DataFrame) -> DataFrame:
-    """Adds ``label`` and ``reason`` by ordered rules."""
+    """Adds ``label`` and ``reason`` by ordered rules; a review's reason lists what is out of range."""
     c = F.col
-    not_ = [
-        (c("tools") < 3, "few tools"), (c("files") == 0, "no files"), (c("duration") < 30, "too short"), ((c("tools") > 200) & (c("duration") > 6 * 3600), "too large"),
+    tools, files, duration = c("tools").between(4, 60), c("files").between(1, 15), c("duration").between(60, 3600)
+    good = tools & files & duration & c("code_or_config")
+    rules = [
+        (c("tools") < 3, "not", "<3 tool calls"), (c("files") == 0, "not", "no files modified"), (c("duration") < 30, "not", "<30s duration"),
+        ((F.length("intent") > 30) & c("intent").rlike(CONVERSATIONAL), "not", "conversational intent"), ((c("tools") > 200) & (c("duration") > 6 * 3600), "not", "marathon execution (>200 tools, >6h)"),
+        (good & ~c("intent").rlike(EXECUTION), "distillable", "focused build/fix session"), (good, "distillable", "focused plan-execution session"),
     ]
-    good = c("tools").between(4, 60) & c("files").between(1, 15) & c("duration").between(60, 3600) & c("code")
-    label = reason = None
-    for cond, text in not_:
-        label = F.when(cond, "not") if label is None else label.when(cond, "not")
-        reason = F.when(cond, text) if reason is None else reason.when(cond, text)
-    return sessions.withColumns({"label": label.when(good, "distillable").otherwise("review"), "reason": reason.when(good, "all in range").otherwise("mixed signals")})
+    label, reason = (F.when(rules[0][0], rules[0][k]) for k in (1, 2))
+    for cond, *texts in rules[1:]:
+        label, reason = label.when(cond, texts[0]), reason.when(cond, texts[1])
+    out = lambda name, unit="": F.concat(F.lit(f"{name}="), c({"dur": "duration"}.get(name, name)), F.lit(f"{unit} out-of-range"))
+    review = F.array_join(F.array_compact(F.array(F.when(~tools, out("tools")), F.when(~files, out("files")), F.when(~duration, out("dur", "s")), F.when(~c("code_or_config"), "no-code-file"))), ", ")
+    return sessions.withColumns({"label": label.otherwise("review"), "reason": reason.otherwise(review)})
 
 
 def local_signals(judged: DataFrame) -> DataFrame:
