@@ -8,13 +8,13 @@ merges; tests hold the stages against brute-force versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import bpe, mixing, neardup, quality, secret_links
 from traceloom.llm.common import materialize, read
 
-#: Ids to drop that may be broadcast (8 bytes each); beyond, the join is shuffled.
+#: Row keys to drop that may be broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
 
@@ -26,14 +26,21 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words of a shingle, similarity 0.8): the smallest id."""
-    found = materialize(neardup.near_duplicates(docs, shingle=5), "found")
-    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    n = found.where("doc_id is not null and kept").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n[0] != n[1]:  # rows that repeat an id: one stays
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        left = left.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null").drop("_n")
+    """One row of each near-duplicate group (five words of a shingle, similarity 0.8): of the smallest id, if any has one.
+
+    Rows are judged one by one, by a key of their own: ids may be null, or repeat with
+    the same or other texts. Rows without words are near no other and stay.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    ids = keyed.select("doc_id", "_row")
+    found = materialize(neardup.near_duplicates(keyed, id_col="_row", shingle=5), "found")
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
+    shared = groups.groupBy("_c").agg(F.count("*").alias("_n")).where("_n > 1").select("_c")
+    many = materialize(groups.join(shared, "_c").join(ids, "_row"), "many")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = many.groupBy("_c").agg(first["_row"].alias("_row")).select("_row")
+    gone = materialize(many.select("_row").join(stay, "_row", "left_anti"), "gone")
+    left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_row", "left_anti")
     return left.select(*docs.columns)
 
 

@@ -126,3 +126,16 @@ def test_models(spark, odd, empty):
     got = quality.score(rated, link, keep=("doc_id", "grade")).groupBy("grade").agg(F.avg("expected_grade").alias("e")).collect()
     assert [round(r.e) for r in sorted(got)] == [0, 1, 2]
     assert quality.score(odd, link).count() == 7 and quality.score(empty, link).count() == 0
+
+
+def test_pipeline_unique_goes_by_rows(spark, empty):
+    import corpus_pipeline
+
+    said = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = said["a"] + " end"
+    rows = [(5, said["a"]), (3, near), (5, said["b"]), (5, said["b"]), (9, near), (9, said["c"]), (None, said["d"]), (None, said["d"]), (None, said["c"]), (7, None), (7, ""), (None, None)]
+    got = corpus_pipeline.unique(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), "")
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = [(3, near), (5, said["b"]), (9, said["c"]), (None, said["d"]), (7, None), (7, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert corpus_pipeline.unique(spark, empty, "").count() == 0
