@@ -139,3 +139,17 @@ def test_pipeline_unique_goes_by_rows(spark, empty):
     want = [(3, near), (5, said["b"]), (9, said["c"]), (None, said["d"]), (7, None), (7, ""), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
     assert corpus_pipeline.unique(spark, empty, "").count() == 0
+
+
+def test_language_of_long_runs(spark, monkeypatch):
+    rows = [(i, ("the cat of the house " if i % 2 else "le chat de la maison ") * 3, "en" if i % 2 else "fr", "a") for i in range(60)]
+    model = langid.fit(docs(spark, rows))
+    scorer = langid.Scorer(model)
+    run = "house" * 40 + "maison" * 100  # the first 200 letters are English
+    assert scorer(run)[0] == "fr" and run not in scorer.place
+    whole = scorer._long("maison" * 30)
+    assert np.allclose(whole, scorer.scores(["maison" * 30])[0], atol=1e-5)  # the same as short words
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert np.allclose(scorer._long("maison" * 30), whole)
+    long = "q" * 150 + "z" * 100
+    assert long in langid.fit(docs(spark, [(i, f"{long} {long}", "en", "a") for i in range(20)]))["words"]

@@ -27,8 +27,10 @@ SAMPLE_ROWS = 1200
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 30_000
 LONGEST = 5
-#: Words whose scores a task remembers.
-CACHE_WORDS = 200_000
+#: Words whose scores a task remembers, and their letters at most; longer ones are scored each time.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 200
+#: Letters of a long word that are scored together.
+PIECE = 1 << 16
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,7 +60,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         for pdf in batches:
             for lang, texts in pdf.groupby("_lang")["_text"]:
                 c = Counter(w for t in texts for w in words_of(t))
-                yield pd.DataFrame({"lang": lang, "word": [w[:200] for w in c], "n": list(c.values())})
+                yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
@@ -104,11 +106,10 @@ class Scorer:
         self.rows = np.zeros((CACHE_WORDS, n), np.float32)
         self.place: dict[str, int] = {}
 
-    def _grams(self, w: str) -> list[int]:
-        """The longest known n-gram at each position."""
+    def _grams(self, padded: str, begin: int = 0, end: int | None = None) -> list[int]:
+        """The longest known n-gram at each position of a word with spaces around it."""
         grams, at = self.grams, []
-        padded = f" {w[:200]} "
-        for i in range(len(padded) - 1):
+        for i in range(begin, min(end or len(padded), len(padded) - 1)):
             for k in range(LONGEST, 0, -1):
                 g = grams.get(padded[i : i + k])
                 if g is not None:
@@ -116,6 +117,17 @@ class Scorer:
                     break
         return at
 
+    def _long(self, w: str) -> np.ndarray:
+        """Scores of one word of any length, piece by piece."""
+        v = self.model["words"].get(w)
+        if v is None:
+            padded, v, n = f" {w} ", np.zeros(self.rows.shape[1]), 0
+            for i in range(0, len(padded), PIECE):
+                at = self._grams(padded, i, i + PIECE)
+                v, n = v + self.gram_rows[at].sum(0, dtype=float), n + len(at)
+            v = v * (2.0 / max(n, 2))
+        return v - v.max()
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log scores of words in each language, shifted to a maximum of 0."""
         known = self.model["words"]
@@ -126,7 +138,7 @@ class Scorer:
             v = known.get(w)
             if v is not None:
                 out[i] = v
-            elif at := self._grams(w):
+            elif at := self._grams(f" {w} "):
                 flat += at
                 unseen.append(i)
                 ends.append(len(flat))
@@ -156,8 +168,11 @@ class Scorer:
         words = Counter(words_of(text))
         if not self.model["langs"] or not any(ch.isalpha() for w in words for ch in w):
             return "und", 0.0
+        total = self.model["prior"]
+        for w in [w for w in words if len(w) > CACHE_LETTERS]:
+            total = total + words.pop(w) * self._long(w)
         times = np.fromiter(words.values(), float, len(words))
-        total = times @ self.rows[self._places(words)] + self.model["prior"]
+        total = times @ self.rows[self._places(words)] + total
         best = int(total.argmax())
         return self.model["langs"][best], float(1.0 / np.exp(np.clip(total - total[best], -50, 0)).sum())
 
