@@ -181,3 +181,11 @@ def test_additive_against_brute_force(spark):
     index = spark.createDataFrame(made, "_row long, id long, vector array<float>, codes binary, norm double")
     got = additive.search(index, books, F.col("id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1029 - i for i in range(20)]
+
+
+def test_secrets_of_long_values(spark):
+    long = "g" * 60_000 + "B" + "k" * 300 + "7"
+    rows = [(1, f"user = bob1 then {long} done", "en", "a"), (2, f"user = bob1 then {'g' * 60_000}B done", "en", "a")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_links.scan(docs(spark, rows)).collect()}
+    assert got == {1: ["id", "value"], 2: []}
+    assert long not in secret_links.redact(docs(spark, rows[:1])).first().text

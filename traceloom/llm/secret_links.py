@@ -39,7 +39,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 IDENT = r"""(?<![A-Za-z0-9_])(?i:user(?:name|_id)?|login|account(?:_id)?|client_id|(?:access_)?key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)"""
 ENDPOINT = r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:-]+|(?i:host(?:name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"""
-VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}"
+VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}"
 
 #: Order among spans with one start.
 KINDS = ("assign", "access", "hex", "id", "endpoint", "value")
