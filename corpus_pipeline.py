@@ -3,7 +3,8 @@
 ``STAGES`` are ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and
 returns what goes on. Between stages the table is written as Parquet to the shared folder
 and read again. SQL cannot express the fitted classifier, the linked secrets or the
-merges; tests hold the stages against brute-force versions.
+merges; a test holds the near-duplicate stage against stated rows, and those of the operators
+the others.
 """
 
 from __future__ import annotations
