@@ -5,13 +5,15 @@ two or more words counts as seen if the corpus has it at least ``min_count`` tim
 word's score is the relative frequency of the longest seen n-gram that ends in it, times
 ``alpha`` for each step down from the longest that its position allows; the first words
 of a text have shorter histories, at no discount. A document's score is the sum of logs.
+``min_count`` is 2: the scored documents are the corpus, so from 1 on each n-gram of
+theirs would be seen, and no score would ever back off.
 
 Relations, with n-grams as 64-bit hashes:
 
-* batches: runs of whole documents of about ``BATCH_CHARS``, written once;
-* exploded n-grams: for each order, batch and hash partition, the distinct n-grams and
-  their counts in the batch, packed in one row (a third of all words being one word makes
-  one entry a batch);
+* batches: runs of whole documents of about ``BATCH_CHARS``, written once, compressed;
+* exploded n-grams: for each order, the distinct n-grams and their counts in each batch,
+  those of one hash partition packed in a row. So a third of all words being one word
+  makes one entry a batch, and there are never more rows than entries;
 * count tables: one group a hash partition, which sums the counts of its n-grams;
 * joined back to the exploded n-grams of each batch: which of its n-grams are seen, and how
   often in all; with the batch's texts these are summed per document.
@@ -25,18 +27,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release_shuffles, shuffle_partitions
+from .common import discard, materialize, planes, read, shuffle_partitions, slices, unplanes
 from .hashing import chunks, hash_chunk, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 4_000_000
 #: Characters of text for each hash partition, at most.
-PARTITION_CHARS = 12_000_000
+PARTITION_CHARS = 8_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -64,15 +66,6 @@ def _place(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Four bytes a number, first all low bytes: small numbers compress well."""
-    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplane(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def _distinct(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes by partition and value, counts, where each partition starts, and each input's entry."""
     value, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -85,29 +78,78 @@ def _distinct(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``batch, texts``: compressed streams of record batches ``id, text``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        texts: list = []
-        size = 0
+        task, n, size, held = TaskContext.get().partitionId(), 0, 0, []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["ids", "texts"])
-
-        for batch in stream:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if texts and size + len(t or "") > BATCH_CHARS:
-                    yield out()
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-        if texts:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for batch in held:
+                    to.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([task << 33 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "texts"])
+
+        for batch in slices(stream, 64):
+            batch = batch.cast(schema)
+            if held and size + batch.nbytes > BATCH_CHARS:
+                yield out()
+                n, size, held = n + 1, 0, []
+            held.append(batch)
+            size += batch.nbytes
+        if held:
             yield out()
 
-    packed = rows.mapInArrow(run, "ids array<bigint>, texts array<string>")
-    return materialize(packed.select(F.monotonically_increasing_id().alias("batch"), "ids", "texts"), "lm-batches")
+    return materialize(rows.mapInArrow(run, "batch long, texts binary"), "lm-batches")
+
+
+def _words_of(texts: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """The ids of a batch, the word hashes of all its texts, and each text's number of words."""
+    ids, parts = [], []
+    for batch in pa.ipc.open_stream(texts):
+        ids += batch.column(0).to_pylist()
+        parts.append(words(batch.column(1).to_pylist()))
+    return ids, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _exploded(n: int, parts: int):
+    """Rows ``p, batch, grams, counts``: the distinct n-grams of a batch in a hash partition, by their steps from one to the next."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for i in range(b.num_rows):
+                _, hashes, counts = _words_of(b.column(1)[i].as_py())
+                h, ok = grams(hashes, counts, n)
+                value, count, cuts, _ = _distinct(h[ok], parts)
+                full = np.flatnonzero(np.diff(cuts))
+                count = count.astype(np.uint32)
+                for some in np.array_split(full, -(-len(full) // 64)) if len(full) else ():
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column(0)[i].as_py(), np.int64)),
+                        pa.array([planes(np.diff(value[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()),
+                        pa.array([planes(count[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()),
+                    ], names=["p", "batch", "grams", "counts"])
+
+    return run
+
+
+def _counted(n: int, least: int):
+    """For each batch of a hash partition: which of its n-grams are seen, and the counts of those in all batches."""
+    def run(table: pa.Table) -> pa.Table:
+        raw = [np.cumsum(unplanes(b.as_py(), np.uint64)) for b in table.column("grams")]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        value, inverse = np.unique(np.concatenate(raw), return_inverse=True)
+        del raw
+        own = np.concatenate([unplanes(b.as_py(), np.uint32) for b in table.column("counts")])
+        total = np.bincount(inverse, own, len(value)).astype(np.int64)[inverse]
+        seen = [total[a:b] >= least for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({
+            "p": table.column("p"), "batch": table.column("batch"), "n": pa.array(np.full(table.num_rows, n, np.int32)), "seen": pa.array([np.packbits(x).tobytes() for x in seen], pa.binary()),
+            "totals": pa.array([planes(total[a:b][x]) for a, b, x in zip(cuts, cuts[1:], seen, strict=False)], pa.binary()),
+        })
+
+    return run
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -121,92 +163,52 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-chars // PARTITION_CHARS))
     batches = _batches(docs, id_col, text_col)
-
-    def exploded(n: int):
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in stream:
-                for i in range(b.num_rows):
-                    h, ok = grams(*words(b.column(1)[i].as_py()), n)
-                    value, count, cuts, _ = _distinct(h[ok], parts)
-                    full = np.flatnonzero(np.diff(cuts))
-                    raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)
-                    # the partition is made of upper bits, and the lower 48 tell n-grams of a partition apart; order 1 keeps all
-                    blobs = [np.ascontiguousarray(raw[cuts[p] : cuts[p + 1], : 8 if n == 1 else 6]).tobytes() for p in full]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.column(0)[i].as_py(), np.int64)), pa.array(blobs, pa.binary()),
-                        pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
-                    ], names=["p", "batch", "grams", "counts"])
-
-        return batches.select("batch", "texts").mapInArrow(run, "p int, batch long, grams binary, counts binary")
-
-    def counted(n: int):
-        width = 8 if n == 1 else 6
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            raw = [np.frombuffer(b, np.uint8).reshape(-1, width) for b in pdf["grams"]]
-            full = np.zeros((sum(map(len, raw)), 8), np.uint8)
-            full[:, :width] = np.concatenate(raw)
-            _, inverse = np.unique(full.view("<u8").ravel(), return_inverse=True)
-            own = np.concatenate([_unplane(b) for b in pdf["counts"]])
-            total = np.bincount(inverse, own).astype(np.int64)[inverse]
-            ends = np.cumsum([len(x) for x in raw])
-            out = []
-            for p, batch, a, b in zip(pdf["p"], pdf["batch"], ends - [len(x) for x in raw], ends, strict=True):
-                seen = total[a:b] >= (min_count if n > 1 else 1)
-                if seen.any():
-                    out.append((p, batch, n, np.packbits(seen).tobytes(), _planes(total[a:b][seen])))
-            return pd.DataFrame(out, columns=["p", "batch", "n", "seen", "totals"])
-
-        return run
-
     tables = []
-    total = 0
     for n in range(1, order + 1):
-        tables.append(materialize(exploded(n).groupBy("p").applyInPandas(counted(n), "p int, batch long, n int, seen binary, totals binary"), "lm-counts"))
-        release_shuffles(spark)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"doc_id": [], "n_words": [], "uni": [], "log_score": []})
-        texts, ids = list(left["texts"].iloc[0]), left["ids"].iloc[0]
-        hashes, counts = words(texts)
-        rows = {(n, p): (s, t) for n, p, s, t in zip(right["n"], right["p"], right["seen"], right["totals"], strict=True)}
-        where = np.repeat(np.arange(len(texts)), counts)
+        exploded = batches.mapInArrow(_exploded(n, parts), "p int, batch long, grams binary, counts binary")
+        counted = exploded.groupBy("p").applyInArrow(_counted(n, min_count if n > 1 else 1), "p int, batch long, n int, seen binary, totals binary")
+        tables.append(materialize(counted, "lm-counts"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, hashes, counts = _words_of(left.column("texts")[0].as_py())
+        rows = {(n, p): i for i, (n, p) in enumerate(zip(right.column("n").to_pylist(), right.column("p").to_pylist(), strict=True))}
+        where = np.repeat(np.arange(len(ids)), counts)
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
         most = np.minimum(place + 1, order)
         logs = np.zeros(len(hashes))
-        from_total = np.zeros(len(hashes), bool)  # scored by order 1, whose denominator is the size of the corpus
+        from_total = np.ones(len(hashes), bool)  # scored by order 1, whose denominator is the size of the corpus
         below = None
         for n in range(1, order + 1):
             h, ok = grams(hashes, counts, n)
             value, _, cuts, at = _distinct(h[ok], parts)
             seen_count = np.zeros(len(value), np.int64)
             for p in np.flatnonzero(np.diff(cuts)):
-                if (got := rows.get((n, int(p)))) is not None:
-                    a, b = cuts[p], cuts[p + 1]
-                    seen = np.unpackbits(np.frombuffer(got[0], np.uint8), count=b - a).astype(bool)
-                    seen_count[a:b][seen] = _unplane(got[1])
+                a, b = cuts[p], cuts[p + 1]
+                i = rows[n, int(p)]
+                seen = np.unpackbits(np.frombuffer(right.column("seen")[i].as_py(), np.uint8), count=b - a).astype(bool)
+                seen_count[a:b][seen] = unplanes(right.column("totals")[i].as_py(), np.int64)
             c = np.zeros(len(hashes), np.int64)
             c[ok] = seen_count[at]
             step = np.log(alpha) * (most - n)
             if n == 1:
-                logs, from_total = np.log(np.maximum(c, 1)) + step, np.ones(len(hashes), bool)
+                logs = np.log(np.maximum(c, 1)) + step
             else:
                 history = np.concatenate([[0], below[:-1]])
                 good = (c > 0) & (history > 0)
                 logs[good] = np.log(c[good] / history[good]) + step[good]
                 from_total[good] = False
             below = c
-        return pd.DataFrame({
-            "doc_id": pd.array(list(ids), dtype="Int64"), "n_words": counts, "uni": np.bincount(where, from_total, len(texts)).astype(np.int64),
-            "log_score": np.bincount(where, logs, len(texts)),
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "uni": pa.array(np.bincount(where, from_total, len(ids)).astype(np.int64)),
+            "log_score": pa.array(np.bincount(where, logs, len(ids))),
         })
 
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    summed = batches.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "doc_id long, n_words long, uni long, log_score double")
+    summed = batches.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(run, "doc_id long, n_words long, uni long, log_score double")
     summed = materialize(summed, "lm-scores")
+    discard(batches, *tables)
     total = summed.agg(F.sum("n_words")).first()[0] or 0
     log = F.col("log_score") - F.col("uni") * F.lit(math.log(total) if total else 0.0)
     return summed.select("doc_id", "n_words", log.alias("log_score"), F.when(F.col("n_words") > 0, log / F.col("n_words")).alias("per_word"))

@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import os
-import tempfile
-import time
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..scratch import discard, materialize  # noqa: F401
 
 #: A word is a run of anything but ASCII white space; Java regex syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine) a folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="traceloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/traceloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, rows: int = 512):
     """Arrow batches in slices, so that few texts at a time are Python objects."""
     for whole in batches:
@@ -47,36 +18,21 @@ def slices(batches, rows: int = 512):
             yield whole.slice(at, rows)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs that nothing refers to any more."""
-    for _ in range(2):  # the cleaner learns of dropped references from the JVM's collector, a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the cluster's own clean-up has to do it
-            return
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sha256_hex(col) -> F.Column:
-    return F.sha2(col, 256)
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes, first all low bytes: those of small numbers compress well."""
+    size = x.dtype.itemsize
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T.tobytes()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def unplanes(b: bytes, kind) -> np.ndarray:
+    """The numbers of ``planes``."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
