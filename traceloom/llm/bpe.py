@@ -1,29 +1,45 @@
-"""Byte-level BPE encoding and decoding by merge replay over a corpus of words (operator 7).
-
-A task takes the distinct words (matches of the split pattern) of a run of texts that it
-has not encoded before as one corpus. An inverted index leads from the rank of each
-adjacent pair to the positions where the pair stands. Ranks are applied in order to all
-their positions; each merge updates only the pairs with the left and right neighbours.
-What a text's ids are depends on its words alone, so tasks need no common table and
-nothing is shuffled; recent words stay in a cache of bounded size.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus's words (operator 7).
+
+The corpus is the distinct words (matches of the split pattern) of all texts:
+
+* batches: runs of documents of about ``BATCH_CHARS``. A batch holds its distinct words
+  and, in place of its texts, each word's number; it is shuffled once, packed;
+* words: each batch's distinct words, dealt by hash to partitions of the corpus. A
+  partition makes them distinct across batches and replays the merges over them: an
+  inverted index leads from the rank of each adjacent pair to the positions where the
+  pair stands, ranks are applied in order to all their positions, and each merge updates
+  only the pairs with the left and right neighbours. At most ``REPLAY_BYTES`` of a
+  partition's words are replayed together, which bounds memory and changes no result;
+* back: the ids of a batch's words come back in the order of its words, and its documents'
+  ids are gathered by word number.
+
+A word that a third of all tokens are is one entry of each batch. Decoding looks each id
+up and joins the bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import planes, read, shuffle_partitions, slices, unplanes
+from .hashing import hash_runs
 
 #: Texts are taken together up to so many characters.
 CHUNK_CHARS = 1 << 18
+#: Characters of a batch, about, and of the texts whose words a hash partition holds.
+BATCH_CHARS, PARTITION_CHARS = 8_000_000, 24_000_000
+#: Bytes of words that are replayed together.
+REPLAY_BYTES = 1 << 19
 #: Words of a generation that a worker remembers, and their characters at most.
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
@@ -209,18 +225,6 @@ class Encoder:
         return ids, np.diff(upto, prepend=0)
 
 
-_encoders: list[Encoder] = []
-
-
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """The worker's encoder, with what it remembers of earlier tasks; one vocabulary at a time."""
-    have = _encoders[0] if _encoders else None
-    if have is None or have.pattern != pattern or (have.merger.ranks is not ranks and have.merger.ranks != ranks):
-        have = Encoder(ranks, pattern)
-        _encoders[:] = [have]
-    return have
-
-
 def gather(flat: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``flat`` numbered ``at``, one after another, and their lengths."""
     starts = np.cumsum(lens) - lens
@@ -243,31 +247,207 @@ def text_runs(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tupl
         yield start, start + len(held), held
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class _Packer:
+    """Gathers documents into a batch: its distinct words, and each word's number in place of the texts."""
+
+    def __init__(self, find, parts: int):
+        self.find, self.parts = find, parts
+        self.begin()
+
+    def begin(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.rows: list[pa.RecordBatch] = []
+        self.index: list[np.ndarray] = []
+        self.counts: list[int] = []
+        self.chars = 0
+
+    def add(self, rows: pa.RecordBatch, texts: list[str]) -> None:
+        self.rows.append(rows)
+        for t in texts:
+            found = self.find(t)
+            self.index.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
+            self.counts.append(len(found))
+            self.chars += len(t)
+
+    def out(self, batch: int) -> pa.RecordBatch:
+        index = np.concatenate([*self.index, np.zeros(0, np.int32)])
+        # frequent words have small numbers, which compress better
+        order = np.argsort(-np.bincount(index, minlength=len(self.number)), kind="stable")
+        renumbered = np.empty(len(order), np.int32)
+        renumbered[order] = np.arange(len(order), dtype=np.int32)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows[0].schema) as out:
+            for rows in self.rows:
+                out.write_batch(rows)
+        words = list(self.number)
+        words = pa.array([words[i].encode("utf-8", "replace") for i in order.tolist()], pa.binary())
+        pieces = [sink.getvalue(), planes(np.array(self.counts, np.int32)), planes(renumbered[index]), *_word_bytes(words)]
+        columns = [pa.array([batch], pa.int64()), *(pa.array([_squeeze(x)], pa.binary()) for x in pieces)]
+        self.begin()
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _BATCH.split(", ")])
+
+
+_BATCH = "batch long, rows binary, counts binary, numbers binary, lens binary, words binary"
+
+
+def _squeeze(b) -> bytes:
+    b = pa.py_buffer(b)
+    return b.size.to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
+def _word_bytes(words: pa.BinaryArray) -> tuple[bytes, pa.Buffer]:
+    """The lengths of words, and their bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return planes(np.diff(offsets).astype(np.int32)), words.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if len(words) and words.buffers()[2] else pa.py_buffer(b"")
+
+
+def _word_array(lens: np.ndarray, data: bytes) -> pa.BinaryArray:
+    offsets = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def _dealt(lens: np.ndarray, data: bytes, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch by their hash partitions: word numbers in that order, and each one's partition."""
+    place = (hash_runs(data, lens.astype(np.int64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    return order, place[order]
+
+
+def _deal(parts: int):
+    """A row for each batch and hash partition: the words of the one that belong to the other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                lens, data = unplanes(_unsqueeze(whole.column(4)[i].as_py()), np.int32), _unsqueeze(whole.column(5)[i].as_py())
+                order, place = _dealt(lens, data, parts)
+                words = _word_array(lens, data).take(pa.array(order))
+                p, starts = np.unique(place, return_index=True)
+                pieces = [_word_bytes(words.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(place)], strict=True)]
+                batch = pa.array(np.full(len(p), whole.column(0)[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), batch, *(pa.array([_squeeze(x[k]) for x in pieces], pa.binary()) for k in (0, 1))], names=["p", "batch", "lens", "words"])
+
+    return run
+
+
+def _replayed(shared):
+    """For each batch of a hash partition: how many ids each of its words has, and the ids."""
+    def run(table: pa.Table) -> pa.Table:
+        merger = _merger(shared.value)
+        sizes = [unplanes(_unsqueeze(x.as_py()), np.int32) for x in table.column("lens")]
+        coded = _word_array(np.concatenate(sizes), b"".join(_unsqueeze(x.as_py()) for x in table.column("words"))).dictionary_encode()
+        words, flat, lens, size, held = coded.dictionary.to_pylist(), [], [], 0, []
+        for i, w in enumerate(words):
+            held.append(w)
+            size += len(w)
+            if size >= REPLAY_BYTES or i + 1 == len(words):
+                got = merger.replay(held)
+                lens.append(np.fromiter(map(len, got), np.int64, len(got)))
+                flat.append(np.fromiter((x for ids in got for x in ids), np.int32, int(lens[-1].sum())))
+                held, size = [], 0
+        flat, lens = np.concatenate([*flat, np.zeros(0, np.int32)]), np.concatenate([*lens, np.zeros(0, np.int64)])
+        at = coded.indices.to_numpy()
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])
+        out = [gather(flat, lens, at[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({
+            "batch": table.column("batch"), "p": table.column("p"), "lens": pa.array([_squeeze(planes(each.astype(np.int32))) for _, each in out], pa.binary()),
+            "ids": pa.array([_squeeze(planes(ids.astype(np.int32))) for ids, _ in out], pa.binary()),
+        })
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded_col: str | None = None) -> DataFrame:
     """``keep`` columns and ``ids array<int>`` of each whole text, one row per input row.
 
     Null and empty texts have no ids. Repeated rows, null ids and other columns don't
     matter. No special tokens: their strings are ordinary text. An empty table gives an
-    empty result. ``ranks`` is broadcast: its size is the vocabulary's.
+    empty result. ``ranks`` is broadcast: its size is the vocabulary's. ``decoded_col``
+    names a further column with the bytes that the ids decode to.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(ranks)
     narrow = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").alias("_text"))
     fields = [f"_k{i} {t}" for i, (_, t) in enumerate(narrow.dtypes[:-1])]
+    chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-chars // PARTITION_CHARS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, task, n = _Packer(splitter(pattern).findall, parts), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             others = batch.select(list(range(batch.num_columns - 1)))
             for a, b, texts in text_runs(batch.column(batch.num_columns - 1).to_pylist()):
-                ids, counts = encoder.encode(texts)
-                offsets = np.zeros(len(counts) + 1, np.int32)
-                np.cumsum(counts, out=offsets[1:])
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                rows = others.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
+                if packer.rows and packer.chars + sum(map(len, texts)) > BATCH_CHARS:
+                    yield packer.out(task << 33 | n)
+                    n += 1
+                packer.add(others.slice(a, b - a), texts)
+        if packer.rows:
+            yield packer.out(task << 33 | n)
+
+    # both readers take whole rows, so that they share one shuffle
+    held = narrow.mapInArrow(packed, _BATCH).repartition(parts, "batch")
+    words = held.mapInArrow(_deal(parts), "p int, batch long, lens binary, words binary")
+    back = words.groupBy("p").applyInArrow(_replayed(shared), "batch long, p int, lens binary, ids binary")
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("p").to_numpy())
+        read_ = lambda name: np.concatenate([*(unplanes(_unsqueeze(right.column(name)[int(i)].as_py()), np.int32) for i in order), np.zeros(0, np.int32)])
+        lens, flat = read_("lens").astype(np.int64), read_("ids")
+        out = []
+        for i in range(left.num_rows):
+            rows, counts, numbers, sizes, data = (_unsqueeze(left.column(c)[i].as_py()) for c in ("rows", "counts", "numbers", "lens", "words"))
+            dealt, _ = _dealt(unplanes(sizes, np.int32), data, parts)
+            if len(dealt) != len(lens):
+                raise RuntimeError("the words of a batch have changed between two runs of the input")
+            at = np.empty(len(dealt), np.int64)
+            at[dealt] = np.arange(len(dealt))
+            ids, each = gather(flat, lens, at[unplanes(numbers, np.int32)])
+            ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(unplanes(counts, np.int32))])]
+            offsets = pa.array(ends.astype(np.int32))
+            columns = {**dict(zip(names, pa.ipc.open_stream(rows).read_all().columns, strict=True)), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
+            if decoded_col:
+                columns["_bytes"] = decode_ids(_by_id(shared.value), ids, np.diff(ends))
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)  # each batch has its row, so that no group of answers comes alone
+
+    names = [f"_k{i}" for i in range(len(keep))]
+    schema = ", ".join([*fields, "ids array<int>", *(["_bytes binary"] if decoded_col else [])])
+    out = held.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(joined, schema)
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "ids", *([F.col("_bytes").alias(decoded_col)] if decoded_col else []))
+
+
+_mergers: list[Merger] = []
+
+
+def _merger(ranks: dict[bytes, int]) -> Merger:
+    """The worker's merger; one vocabulary at a time."""
+    if not _mergers or (_mergers[0].ranks is not ranks and _mergers[0].ranks != ranks):
+        _mergers[:] = [Merger(ranks)]
+    return _mergers[0]
+
+
+def _by_id(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids, one after another, and their lengths."""
+    if not _tables or _tables[0][0] is not ranks:
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            by_id[r] = b
+        _tables[:] = [(ranks, np.frombuffer(b"".join(by_id), np.uint8), np.fromiter(map(len, by_id), np.int64, len(by_id)))]
+    return _tables[0][1:]
+
 
-    out = narrow.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "ids")
+_tables: list[tuple] = []
+
+
+def decode_ids(by_id: tuple[np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """The bytes of runs of ``counts`` ids."""
+    data, each = gather(*by_id, ids.astype(np.int64))
+    offsets = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
@@ -277,19 +457,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
     fields = [f"_k{i} {t}" for i, (_, t) in enumerate(narrow.dtypes[:-1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        by_id = [b""] * (max(table.values()) + 1)
-        for b, r in table.items():
-            by_id[r] = b
-        lens = np.fromiter(map(len, by_id), np.int64, len(by_id))
-        flat = np.frombuffer(b"".join(by_id), np.uint8)
         for batch in slices(batches, 256):
             column = batch.column(batch.num_columns - 1)
             counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            data, each = gather(flat, lens, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum(each)])
-            offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-            texts = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            texts = decode_ids(_by_id(shared.value), column.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "_out"])
 
     out = narrow.mapInArrow(run, ", ".join([*fields, "_out binary"]))
@@ -305,13 +476,10 @@ def default_vocabulary() -> tuple[dict[bytes, int], str]:
 def digest(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Encodes, decodes the ids again, and reports digests of both."""
     ranks, pattern = default_vocabulary()
-    ids = encode(docs, ranks, pattern)
-    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    # written out between the two, so that an executor has workers for one of them at a time
-    ids = materialize(ids, "ids")
-    keep = ("doc_id", "n_tokens", "ids_sha256", *(("ids",) if with_ids else ()))
-    both = decode(ids, ranks, keep=keep)
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *keep[3:])
+    both = encode(docs, ranks, pattern, decoded_col="decoded")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    more = ["ids"] if with_ids else []
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

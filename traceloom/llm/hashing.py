@@ -76,6 +76,18 @@ def hash_chunk(chunk: Sequence[bytes], prefixes: Sequence[int] = ()) -> tuple[np
     return mix(total), counts, *more
 
 
+def hash_runs(data: bytes, lens: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, one after another, of the lengths given; an empty run's is 0."""
+    out = np.zeros(len(lens), np.uint64)
+    some = np.flatnonzero(lens)
+    if some.size:
+        starts = (np.cumsum(lens) - lens)[some]
+        terms = _BYTE[np.frombuffer(data, np.uint8)] * _power(_P, len(data))
+        total = np.add.reduceat(terms, starts) * _power(_P_INV, len(data))[starts]
+        out[some] = mix(total + lens[some].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 def chunks(texts: Sequence[str | None], lower: bool) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs (from, to, encoded texts) of texts of about ``CHUNK_BYTES`` bytes; null is empty."""
     start, size, held = 0, 0, []
