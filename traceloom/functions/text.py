@@ -79,6 +79,40 @@ def base_name(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+def file_base_name(c: Column) -> Column:
+    """The last part of a path, whatever slashes end it; empty for the root."""
+    return F.regexp_extract(c, "([^/]*)/*$", 1)
+
+
+def path_parts(c: Column) -> Column:
+    """Parts of an absolute path without ``.`` and empty ones; ``..`` takes the part before it away."""
+    start = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.array_append(acc, x))
+    return F.aggregate(F.split(c, "/"), start, step)
+
+
+def is_inside(path: Column, folder: Column) -> Column:
+    """Whether an absolute path is the folder or lies in it."""
+    parts = path_parts(folder)
+    return F.slice(path_parts(path), 1, F.size(parts)) == parts
+
+
+def is_newer(latest: Column, current: Column) -> Column:
+    """Whether one version is above the other by its three numbers; false where either has none."""
+    def numbers(c: Column) -> Column:
+        found = [F.regexp_extract(c, r"^(\d+)\.(\d+)\.(\d+)", i).cast("decimal(38,0)") for i in (1, 2, 3)]
+        return F.when(c.rlike(r"^\d+\.\d+\.\d+"), F.struct(*(x.alias(f"v{i}") for i, x in enumerate(found))))
+
+    return F.coalesce(numbers(latest) > numbers(current), F.lit(False))
+
+
+def percent_change(a: Column, b: Column) -> Column:
+    """Rounded change from a to b with its sign; from 0 there is none."""
+    pct = F.floor((b - a) / F.nullif(a, F.lit(0)) * 100 + 0.5).cast("long")
+    return F.when(a == 0, F.when(b == 0, "—").otherwise("+∞")).otherwise(F.concat(F.when(pct >= 0, "+").otherwise(""), pct.cast("string"), F.lit("%")))
+
+
 def project_slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(base_name(c)), "[^a-z0-9]+", "-")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -10,19 +10,24 @@ from . import text as T
 UNBOUNDED = (1 << 31) - 1
 
 
-def anonymize(path: Column, root: str, home: str = "") -> Column:
-    """Relative to ``root`` inside of it, ``~`` for ``home``, else the base name."""
-    root, home = root.rstrip("/"), home.rstrip("/")
-    inside = F.substring(path, len(root) + 2, UNBOUNDED)
-    out = F.when(path == "", path).when(~path.startswith("/"), F.when(path.rlike(r"(^|/)\.\.(/|$)"), T.base_name(path)).otherwise(path))
-    if root:
-        out = out.when(path.startswith(root + "/"), inside)
+def anonymize(path: Column, root: Column | str, home: str = "") -> Column:
+    """Relative to ``root`` inside of it, ``~`` for ``home``, else the base name.
+
+    ``.`` and ``..`` are resolved first, so that no path leads out. Relative paths are
+    taken from ``root``; without an absolute root they become their base name.
+    """
+    root = F.lit(root) if isinstance(root, str) else root
+    rooted, relative = F.coalesce(root.startswith("/"), F.lit(False)), ~path.startswith("/")
+    parts, above = T.path_parts(F.when(relative, F.concat(root, F.lit("/"), path)).otherwise(path)), T.path_parts(root)
+    rest = F.array_join(F.slice(parts, F.size(above) + 1, F.greatest(F.size(parts) - F.size(above), F.lit(0))), "/")
+    inside = rooted & (F.size(parts) > F.size(above)) & (F.slice(parts, 1, F.size(above)) == above) & ~rest.startswith("..")
+    out = F.when(path == "", path).when(inside, rest)
     if home:
         out = out.when((path == home) | path.startswith(home + "/"), F.concat(F.lit("~"), F.substring(path, len(home) + 1, UNBOUNDED)))
-    return out.otherwise(T.base_name(path))
+    return out.otherwise(T.file_base_name(path))
 
 
-def tool_line(name: Column, input_json: Column, root: str = "", home: str = "", most: int = 160) -> Column:
+def tool_line(name: Column, input_json: Column, root: Column | str = "", home: str = "", most: int = 160) -> Column:
     """What the call does: path, command, pattern or the first text field, each at most ``most`` characters."""
     value = F.try_parse_json(input_json)
 
@@ -63,3 +68,10 @@ def tool_line(name: Column, input_json: Column, root: str = "", home: str = "",
         .when(name == "Skill", lead("Skill: ", tail("", field("skill")), tail(" (", field("args"), ")")))
         .otherwise(F.when(first.isNull(), name).otherwise(F.concat(name, F.lit(" "), first["key"], F.lit("="), T.smart_truncate(first["value"], most))))
     )
+
+
+def summary(calls: DataFrame, root: Column | str = "", home: str = "") -> DataFrame:
+    """``session_id, tools``: the lines of ``calls (session_id, idx, tool_idx, name, input)`` in order, one a row of text."""
+    line = F.struct("idx", "tool_idx", F.concat(F.lit("- "), tool_line(F.col("name"), F.col("input"), root, home)).alias("line"))
+    lines = calls.groupBy("session_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    return lines.select("session_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("tools"))
