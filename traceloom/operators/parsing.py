@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sessions import attach_compat
+
 _BLOCKS = "array<struct<type string, text string, name string, input string>>"
 _ENTRY = ("type string, message struct<role string, content string, model string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint,"
-          " cache_creation_input_tokens bigint>>, content string, timestamp string, sessionId string, cwd string, gitBranch string, uuid string, parentUuid string")
+          " cache_creation_input_tokens bigint>>, timestamp string, sessionId string, cwd string, gitBranch string, uuid string, parentUuid string")
 
 
 def _filled(c: Column) -> Column:
@@ -51,10 +53,11 @@ def messages(parsed: DataFrame) -> DataFrame:
 
 
 def results(parsed: DataFrame) -> DataFrame:
-    """The last non-empty tool result for each parent entry."""
+    """The last non-empty tool result for each parent entry; what is no text is its JSON."""
     e = F.col("e")
-    rows = parsed.where((e["type"] == "tool_result") & _filled(e["content"]).isNotNull())
-    return rows.groupBy("session_id", e["parentUuid"].alias("uuid")).agg(F.max_by(e["content"], F.col("line_no")).alias("output"))
+    content = _filled(e["message"]["content"])
+    rows = parsed.where((e["type"] == "tool_result") & content.isNotNull() & _filled(e["parentUuid"]).isNotNull())
+    return rows.groupBy("session_id", e["parentUuid"].alias("uuid")).agg(F.max_by(content, F.col("line_no")).alias("output"))
 
 
 def tool_calls(parsed: DataFrame) -> DataFrame:
@@ -130,11 +133,57 @@ def codex_calls(parsed: DataFrame) -> DataFrame:
 
 
 def codex_sessions(parsed: DataFrame) -> DataFrame:
-    """Header of the first ``session_meta`` and sums of the token counts."""
+    """The columns of ``sessions``: header of the first ``session_meta``, sums of the token counts, counts of messages and calls.
+
+    The branch is unknown and no files are tracked in this kind of log.
+    """
     meta, count = F.col("type") == "session_meta", (F.col("type") == "event_msg") & (_field("type") == "token_count")
     at = F.when(meta, F.col("line_no"))
-    get = lambda k: F.coalesce(F.coalesce(_field(f"info.{k}"), _field(k)).cast("long"), F.lit(0))
-    return parsed.groupBy("session_id").agg(
-        F.coalesce(_filled(F.min_by(_field("id"), at)), F.lit("unknown")).alias("log_id"), F.coalesce(_filled(F.min_by(_field("cwd"), at)), F.lit("unknown")).alias("project"),
+    get = lambda k: F.coalesce(_field(k).cast("long"), F.lit(0))
+    timed = F.when(F.col("ts") != "", F.col("line_no"))
+    head = parsed.groupBy("session_id").agg(
+        F.coalesce(F.min_by(_field("id"), at), F.lit("unknown")).alias("log_id"), F.coalesce(F.min_by(_field("cwd"), at), F.lit("unknown")).alias("project"), F.lit("unknown").alias("branch"),
+        F.coalesce(F.min_by("ts", timed), F.lit("")).alias("started_at"), F.coalesce(F.max_by("ts", timed), F.lit("")).alias("ended_at"),
         F.coalesce(F.sum(F.when(count, get("input_tokens"))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(F.when(count, get("output_tokens"))), F.lit(0)).alias("output_tokens"),
     )
+    said = codex_messages(parsed).groupBy("session_id").agg(F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.col("role") == "assistant").alias("assistant_messages"))
+    names = codex_calls(parsed).groupBy("session_id", "name").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    tools = names.groupBy("session_id").agg(F.sum("n").alias("tool_calls"), F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("t"))
+    none = F.array().cast("array<string>")
+    both = head.join(said, "session_id", "left").join(tools, "session_id", "left")
+    return both.select(
+        "session_id", "log_id", "project", "branch", "started_at", "ended_at", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("user_messages", "assistant_messages")), "input_tokens", "output_tokens",
+        F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"), F.coalesce(F.transform("t", lambda x: x["name"]), none).alias("unique_tools"), none.alias("files_modified"),
+    )
+
+
+def codex_model(parsed: DataFrame) -> DataFrame:
+    """``session_id, model`` of the first ``session_meta``."""
+    at = F.when(F.col("type") == "session_meta", F.col("line_no"))
+    return parsed.groupBy("session_id").agg(F.min_by(_field("model"), at).alias("model"))
+
+
+def parse(lines: DataFrame, agent_col: str = "agent") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, messages and tool calls of ``lines (session_id, line_no, line)`` of both kinds, by the agent.
+
+    Sessions are ``session_id, agent`` and the columns of ``sessions``; messages
+    ``session_id, idx, role, content, ts``; calls ``session_id, idx, tool_idx, name, input,
+    output``, ``idx`` being that of their message. Any agent but ``claude-code`` has logs of
+    the second kind, whose calls go to their session's first assistant message while none
+    so far is older than it; others belong to no message and are left out.
+    """
+    agents = lines.groupBy("session_id").agg(F.first(agent_col).alias("agent"))
+    first = entries(lines.where(F.col(agent_col) == "claude-code"))
+    second = codex_entries(lines.where(F.col(agent_col) != "claude-code"))
+    rows = sessions(first).unionByName(codex_sessions(second)).join(agents, "session_id")
+    said = codex_messages(second)
+    every = messages(first).select("session_id", F.col("line_no").alias("idx"), "role", "content", "ts").unionByName(said.select("session_id", F.col("line_no").alias("idx"), "role", "content", "ts"))
+    calls = tool_calls(first).select("session_id", F.col("line_no").alias("idx"), "tool_idx", "name", "input", "output")
+    at = lambda c: F.try_to_timestamp(F.nullif(F.col(c), F.lit("")))
+    spoken = said.where("role = 'assistant'").select("session_id", F.col("line_no").alias("idx"), at("ts").alias("ts"))
+    called = codex_calls(second).withColumn("at", at("ts"))
+    attached = attach_compat(spoken.select("session_id", "ts"), called.select("session_id", "ord", F.col("at").alias("ts"))).where("msg_ts is not null")
+    home = spoken.groupBy("session_id").agg(F.min("idx").alias("idx"))
+    more = called.join(attached.select("session_id", "ord"), ["session_id", "ord"]).join(home, "session_id")
+    more = more.select("session_id", "idx", F.col("ord").cast("int").alias("tool_idx"), "name", "input", F.lit("").alias("output"))
+    return rows, every, calls.unionByName(more)

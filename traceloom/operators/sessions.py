@@ -17,11 +17,16 @@ def summary(messages: DataFrame) -> DataFrame:
 
 
 def cap_last(messages: DataFrame, most: int = 1000) -> DataFrame:
-    """The last ``most`` messages of each session, and how many were dropped."""
-    last = Window.partitionBy("session_id").orderBy(F.desc("idx"))
+    """The last ``most`` messages of each session, and how many were dropped.
+
+    Messages with one ``idx`` follow each other by role, then text. Null ids are a session;
+    an empty table gives none.
+    """
+    last = Window.partitionBy("session_id").orderBy(F.desc("idx"), F.desc("role"), F.desc("content"))
     sizes = messages.groupBy("session_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped"))
+    # the rank limit is pushed below the shuffle; a count over the same window would forbid that
     kept = messages.withColumn("r", F.row_number().over(last)).where(F.col("r") <= most).drop("r")
-    return kept.join(sizes, "session_id")
+    return kept.join(sizes.withColumnRenamed("session_id", "_s"), F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def conversation_block(messages: DataFrame, most: int = 1000, chars: int = 500) -> DataFrame:
@@ -32,8 +37,11 @@ def conversation_block(messages: DataFrame, most: int = 1000, chars: int = 500)
 
 
 def last_outputs(calls: DataFrame, n: int = 3, chars: int = 200) -> DataFrame:
-    """The last ``n`` non-empty outputs of each session, cut and joined. ``calls (session_id, ord, output)``."""
-    last = Window.partitionBy("session_id").orderBy(F.desc("ord"))
+    """The last ``n`` non-empty outputs of each session, cut and joined. ``calls (session_id, ord, output)``.
+
+    ``ord`` tells calls apart; those of one ``ord`` follow each other by output.
+    """
+    last = Window.partitionBy("session_id").orderBy(F.desc("ord"), F.desc("output"))
     some = calls.where("output <> ''").withColumn("r", F.row_number().over(last)).where(F.col("r") <= n)
     got = some.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.substring("output", 1, chars).alias("o")))).alias("l"))
     return got.select("session_id", F.array_join(F.transform("l", lambda x: x["o"]), " | ").alias("outputs"))
