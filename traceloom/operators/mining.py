@@ -44,10 +44,11 @@ def sessions_of_events(log: DataFrame) -> DataFrame:
 def _rules() -> list[tuple[Column, int, Column]]:
     c = F.col
     say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
+    # Rules in order, with their weights and reasons.
     return [
-        (c("files") >= 1, 3, say("+3 files:", c("files"))), (c("code"), 3, say("+3 code")), ((c("tools") >= 3) & (c("tools") <= 30), 2, say("+2 tools-in-range:", c("tools"))),
-        (c("in_projects"), 2, say("+2 in-projects")), (c("users") >= 2, 1, say("+1 multi-turn:", c("users"))), (c("tokens") > 1000, 1, say("+1 tokens")),
-        (c("tools") == 0, -3, say("-3 no-tools")), (c("duration") < 60, -1, say("-1 short:", c("duration"), "s")), (c("tools") > 100, -2, say("-2 many-tools")), (c("slash_only"), -2, say("-2 slash-only-intent")),
+        (c("files") >= 1, 3, say("+3 files:", c("files"))), (c("code"), 3, say("+3 code-files")), ((c("tools") >= 3) & (c("tools") <= 30), 2, say("+2 tools-in-range:", c("tools"))),
+        (c("in_projects"), 2, say("+2 in-Projects")), (c("users") >= 2, 1, say("+1 multi-turn:", c("users"))), (c("tokens") > 1000, 1, say("+1 tokens:", c("tokens"))),
+        (c("tools") == 0, -3, say("-3 zero-tools")), (c("duration") < 60, -1, say("-1 short:", c("duration"), "s")), (c("tools") > 100, -2, say("-2 marathon:", c("tools"))), (c("slash_only"), -2, say("-2 slash-only-intent")),
     ]
 
 
@@ -80,15 +81,60 @@ def classify(sessions: DataFrame) -> DataFrame:
 
 
 def local_signals(judged: DataFrame) -> DataFrame:
-    """Verdicts against what the session holds: nothing done overrules yes; much done is noted at no."""
-    nothing = F.col("distillable") & (F.col("files") == 0) & (F.col("tools") == 0)
-    much = ~F.col("distillable") & (F.col("files") > 0) & (F.col("tools") > 5)
+    """Verdicts (``distillable, reason, confidence``) against what the session holds (``files, tools``).
+
+    Nothing done overrules yes, with high confidence; much done is added to the reason of no.
+    """
+    c, say = F.col, lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
+    nothing = c("distillable") & (c("files") == 0) & (c("tools") == 0)
+    much = ~c("distillable") & (c("files") > 0) & (c("tools") > 5)
+    reason = F.when(nothing, say("local signals contradict judge: 0 files modified and 0 tool calls (original: ", c("reason"), ")"))
+    reason = reason.when(much, say(c("reason"), " (local signals suggest distillable: ", c("files"), " files modified, ", c("tools"), " tool calls — judge disagreed)"))
     return judged.withColumns({
-        "verdict": F.when(nothing, False).otherwise(F.col("distillable")),
-        "note": F.when(nothing, "overruled").when(much, "check").otherwise(""),
+        "distillable": c("distillable") & ~nothing, "reason": reason.otherwise(c("reason")), "confidence": F.when(nothing, "high").otherwise(c("confidence")),
     })
 
 
+def candidates(scored: DataFrame) -> DataFrame:
+    """Sessions worth a label: those with code in a project and at least 3 calls, then those of files and an intent.
+
+    Unlike tier A, the first kind takes sessions of a slash command alone.
+    """
+    first = F.col("code") & F.col("in_projects") & (F.col("tools") >= 3)
+    second = (F.col("files") >= 1) & (F.col("tools") >= 3) & ~F.col("slash_only")
+    return scored.withColumn("candidate", F.when(first, 1).when(second, 2)).where("candidate is not null")
+
+
+def fixture_check(rows: DataFrame) -> DataFrame:
+    """Adds ``missing, unexpected, passes, details`` to ``expected_kind, must, must_not, kind, output``.
+
+    ``kind`` is what came: skill, abort or error. A skill that was expected passes with all
+    of ``must`` and none of ``must_not`` in it, whatever the case; an abort passes if one was expected.
+    """
+    has = lambda x: F.contains(F.lower("output"), F.lower(x))
+    none = F.array().cast("array<string>")
+    compared = (F.col("kind") == "skill") & (F.col("expected_kind") == "skill")
+    missing = F.when(compared, F.filter(F.coalesce("must", none), lambda x: ~has(x))).otherwise(none)
+    unexpected = F.when(compared, F.filter(F.coalesce("must_not", none), has)).otherwise(none)
+    rows = rows.withColumns({"missing": missing, "unexpected": unexpected})
+    passes = F.when(F.col("kind") == "abort", F.col("expected_kind") == "abort").otherwise(compared & (F.size("missing") == 0) & (F.size("unexpected") == 0))
+    counts = F.concat(F.lit("missing="), F.size("missing"), F.lit(", unexpected="), F.size("unexpected"))
+    details = F.when(compared, F.when(F.col("passes"), "All checks passed.").otherwise(counts)).when(F.col("kind") == "skill", "Expected abort but got a skill.")
+    details = details.when(F.col("kind") == "abort", "Aborted").otherwise("Unexpected error")
+    return rows.withColumn("passes", passes).withColumn("details", details)
+
+
+def evaluation(results: DataFrame) -> DataFrame:
+    """One row over ``expected_kind, kind, passes, prompt_chars``: passes, aborts and the mean prompt."""
+    e, k = F.col("expected_kind"), F.col("kind")
+    total = F.count("*")
+    return results.agg(
+        total.alias("total"), F.count_if("passes").alias("passing"), F.coalesce(F.floor(F.count_if("passes") / F.nullif(total, F.lit(0)) * 100 + 0.5), F.lit(0)).cast("long").alias("pass_pct"),
+        F.count_if(e == "abort").alias("expected_aborts"), F.count_if((e == "abort") & (k == "abort")).alias("correct_aborts"), F.count_if(k == "abort").alias("aborts"),
+        F.floor(F.avg("prompt_chars") + 0.5).cast("long").alias("avg_prompt_chars"),
+    )
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """One row: tp, fp, tn, fn and accuracy, precision, recall, F1 (0 where undefined) of ``expected, predicted``."""
     e, p = F.col("expected"), F.col("predicted")
