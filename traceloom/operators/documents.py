@@ -14,7 +14,7 @@ from ..functions import text as T
 # Tags that a document may carry, and keys of its front block.
 TAGS = ("testing", "debugging", "api", "database", "security", "auth", "performance", "deployment", "refactor", "typescript", "react", "next-js", "supabase", "build", "tooling", "ci", "migrations", "observability")
 KEYS = ("name", "description", "source_session", "source_agent", "created", "tags")
-PROMPT_VERSION = "1"
+PROMPT_VERSION = "v2.2026-04-19"
 _TOKENS = re.compile(r'"(?:\\.|[^"\\])*"|\\.|[{}]', re.S)
 
 
@@ -66,13 +66,28 @@ def payload(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     return some.withColumns(fields).withColumn("kind", kind).drop("_json")
 
 
-def verdict(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
-    """Adds ``distillable`` (only where JSON says true), ``reason`` and ``confidence`` of a judge's reply; closed on failure."""
-    v = F.try_parse_json(F.col("_json"))
+def _judged(v: Column, broken: str) -> dict[str, Column]:
+    """Verdict of a JSON value that should be an object; ``broken`` is the reason where it is none."""
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     yes = F.coalesce((F.schema_of_variant(F.try_variant_get(v, "$.distillable", "variant")) == "BOOLEAN") & F.try_variant_get(v, "$.distillable", "boolean"), F.lit(False))
     level = F.when(_text(v, "confidence").isin("high", "medium", "low"), _text(v, "confidence")).otherwise("low")
+    return {
+        "distillable": is_object & yes, "reason": F.when(is_object, F.coalesce(_text(v, "reason"), F.lit("no reason given"))).otherwise(broken),
+        "confidence": F.when(is_object, level).otherwise("low"),
+    }
+
+
+def verdict(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
+    """Adds ``distillable`` (only where JSON says true), ``reason`` and ``confidence`` of a judge's reply in text; closed on failure."""
     rows = replies.withColumn("_json", pandas_udf(_first_objects, "string")(F.col(f"`{reply_col}`")))
-    return rows.withColumns({"distillable": yes, "reason": F.coalesce(_text(v, "reason"), F.lit("")), "confidence": level}).drop("_json")
+    return rows.withColumns(_judged(F.try_parse_json(F.col("_json")), "judge output unparseable, refusing to distill")).drop("_json")
+
+
+def tool_verdict(calls: DataFrame, input_col: str = "tool_input") -> DataFrame:
+    """As ``verdict``, of the JSON that the judge gave to its tool: the whole of it, with nothing around."""
+    v = F.try_parse_json(F.col(f"`{input_col}`"))
+    broken = F.when(v.isNull(), "judge tool arguments not valid JSON").otherwise("judge tool returned non-object input")
+    return calls.withColumns(_judged(v, broken))
 
 
 def _bullets(items: Column, mark: str, empty: str) -> Column:
@@ -91,38 +106,33 @@ def render() -> Column:
     return F.concat(*lines, *(x for title, v in body for x in (F.lit(f"\n## {title}\n"), v, F.lit("\n"))))
 
 
-_COMMENT, _MARK = re.compile(r"<!--[\s\S]*?--!?>"), re.compile(r"<!--|--!?>")
-
+_COMMENT, _MARK = r"(?s)<!--.*?--!?>", "<!--|--!?>"
 
-def _settle(text: str, pattern: re.Pattern) -> tuple[str, int]:
-    """Removes matches until none is left."""
-    count = 0
-    while True:
-        text, n = pattern.subn("", text)
-        count += n
-        if not n:
-            return text, count
 
+def _settle(c: Column, pattern: str) -> Column:
+    """``text, n``: the text without matches, removed again until none is left, and how many went.
 
-def _uncomment(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for t in texts:
-        t, a = _settle(t or "", _COMMENT)
-        t, b = _settle(t, _MARK)
-        out.append((t, a + b))
-    return pd.DataFrame(out, columns=["text", "n"])
+    Each further pass takes an angle bracket at least, so that there are never more passes
+    than brackets; after the first hardly a text has any match.
+    """
+    gone = lambda acc: F.struct(F.regexp_replace(acc["text"], pattern, "").alias("text"), (acc["n"] + F.regexp_count(acc["text"], F.lit(pattern))).cast("int").alias("n"))
+    first = F.struct(F.regexp_replace(c, pattern, "").alias("text"), F.regexp_count(c, F.lit(pattern)).cast("int").alias("n"))
+    left = F.when(first["text"].rlike(pattern), F.regexp_count(first["text"], F.lit("[<>]"))).otherwise(0)
+    passes = F.slice(F.sequence(F.lit(0), left), 2, left)
+    return F.aggregate(passes, first, lambda acc, _: F.when(acc["text"].rlike(pattern), gone(acc)).otherwise(acc))
 
 
 def filter_output(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds ``clean`` and ``violations``: direction marks, comments, long fences and unknown keys of the front block go.
 
-    Only rows with comment marks leave the JVM. Null texts are empty.
+    All native. Null texts are empty.
     """
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.withColumns({"_n1": F.regexp_count(t, F.lit("[‪-‮⁦-⁩]")), "_t": T.strip_directional(t)})
-    rows = rows.withColumn("_c", pandas_udf(_uncomment, "struct<text string, n long>")(F.when(F.col("_t").rlike("<!--|--!?>"), F.col("_t"))))
-    marked = F.col("_t").rlike("<!--|--!?>")
-    rows = rows.withColumns({"_n2": F.when(marked, F.col("_c.n")).otherwise(0), "_t": F.when(marked, F.col("_c.text")).otherwise(F.col("_t"))})
+    marked = F.col("_t").rlike(_MARK)
+    rows = rows.withColumn("_c", F.when(marked, _settle(F.col("_t"), _COMMENT)))
+    rows = rows.withColumn("_d", F.when(marked, _settle(F.col("_c.text"), _MARK)))
+    rows = rows.withColumns({"_n2": F.coalesce(F.col("_c.n") + F.col("_d.n"), F.lit(0)), "_t": F.coalesce("_d.text", "_t")})
     rows = rows.withColumns({"_n3": F.regexp_count(F.col("_t"), F.lit("(?m)^`{4,}")), "_t": T.flatten_fences(F.col("_t"))})
     block = F.regexp_extract("_t", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     key = lambda line: F.regexp_extract(line, r"^([a-zA-Z_][a-zA-Z0-9_-]*)\s*:", 1)
@@ -144,7 +154,7 @@ def filter_output(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...]
         say(F.col("_n3"), "normalized ", " nested code-fence line(s) (4+ backticks)"),
         F.when(F.size(gone) > 0, F.concat(F.lit("stripped unknown frontmatter key(s): "), F.array_join(gone, ", "))),
     ))
-    return rows.withColumns({"clean": F.when(F.size(gone) > 0, clean).otherwise(F.col("_t")), "violations": violations}).drop("_t", "_c", "_f", "_n1", "_n2", "_n3")
+    return rows.withColumns({"clean": F.when(F.size(gone) > 0, clean).otherwise(F.col("_t")), "violations": violations}).drop("_t", "_c", "_d", "_f", "_n1", "_n2", "_n3")
 
 
 def prompt_metrics(c: Column) -> dict[str, Column]:
@@ -156,3 +166,9 @@ def prompt_metrics(c: Column) -> dict[str, Column]:
         "abort_protocol": has(r'(?i)"abort":\s*"no_artifact"|abort protocol'), "taxonomy": has("(?i)closed taxonomy"), "json_schema": has("(?i)EXACTLY ONE valid JSON"),
         "causal_chain": has("(?i)causal chain|discard dead ends"),
     }
+
+
+def sum_metrics(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Metrics of each ``key``: sums of the sizes and counts, and the flags of its last row by ``order``."""
+    counts, flags = ("chars", "lines", "path_leaks", "hints"), ("few_shot", "abort_protocol", "taxonomy", "json_schema", "causal_chain")
+    return rows.groupBy(key).agg(*(F.sum(c).alias(c) for c in counts), *(F.max_by(c, order).alias(c) for c in flags))

@@ -1,7 +1,9 @@
 """Scanning fields for credentials: patterns, disguised forms, and what to do on a match.
 
-Native patterns decide most rows. Only rows with signs of a disguise (marks beyond ASCII,
-escapes, long base64 runs) go through Arrow batches for the normalised layers.
+Native patterns decide most rows. Characters that look or decompose like ASCII ones, and
+hidden ones, are folded natively too. Only rows with escapes, long base64 runs, characters
+that stand for several, or a credential in their folded text go through Arrow batches for
+the normalised layers; to the others the batches give nothing but a null.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import base64
 import binascii
 import re
 import unicodedata
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pandas as pd
@@ -34,7 +37,7 @@ PATTERNS = [
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("password", r"(?i:password|passwd|pwd)\s*[=:]\s*[^\s\"']{8,}"),
 ]
-_DISGUISE = r"[^\x00-\x7F]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/]{24,}"
+_ENCODED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/]{24,}"
 _HIDDEN = re.compile("[​‌‍﻿­]")
 _ALIKE = str.maketrans({"ѕ": "s", "к": "k", "о": "o", "а": "a", "е": "e", "р": "p", "с": "c", "ο": "o", "і": "i"})
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}")
@@ -48,6 +51,32 @@ def normalize(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, str]:
+    """Characters that ``normalize`` makes one ASCII character or nothing, what they become, and those that become several."""
+    one, gone, several = {}, [], []
+    for point in range(0x80, 0x30000):
+        c = chr(point)
+        if 0xD800 <= point < 0xE000 or not (c.translate(_ALIKE) != c or unicodedata.decomposition(c) or unicodedata.combining(c) or _HIDDEN.match(c)):
+            continue
+        n = normalize(c)
+        if n == "":
+            gone.append(c)
+        elif n.isascii() and len(n) == 1:
+            one[c] = n
+        elif n.isascii():
+            several.append(c)
+    return "".join([*one, *gone]), "".join(one.values()), "".join(several)
+
+
+def _disguised_signs(c: Column) -> Column:
+    """Whether a text may hold what the patterns do not see as it stands."""
+    shown, plain, several = _folds()
+    some = "|".join(pattern for _, pattern in PATTERNS)
+    beyond = c.rlike(r"[^\x00-\x7F]") & (c.rlike(f"[{several}]") | F.translate(c, shown, plain).rlike(some))
+    return c.rlike(_ENCODED) | beyond
+
+
 def _kinds(text: str) -> list[str]:
     return [kind for kind, p in PATTERNS if re.search(p, text)]
 
@@ -90,7 +119,7 @@ def scan(fields: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = fields.withColumn("_t", text)
-    rows = rows.withColumn("_d", pandas_udf(_disguised, "array<struct<kind string, part string>>")(F.when(F.col("_t").rlike(_DISGUISE), F.col("_t"))))
+    rows = rows.withColumn("_d", pandas_udf(_disguised, "array<struct<kind string, part string>>")(F.when(_disguised_signs(F.col("_t")), F.col("_t"))))
     none = F.array().cast("array<struct<kind:string,part:string>>")
     rows = rows.withColumn("_d", F.coalesce("_d", none)).withColumn("kinds", F.array_distinct(F.concat(plain_kinds(F.col("_t")), F.transform("_d", lambda x: x["kind"]))))
     parts = F.filter(F.array_distinct(F.transform("_d", lambda x: x["part"])), lambda p: p != "")
@@ -112,5 +141,5 @@ def apply_policy(scanned: DataFrame, policy: str, text_col: str = "text") -> Dat
 
 
 def count_kinds(scanned: DataFrame) -> DataFrame:
-    """How many fields hold each kind."""
+    """``kind, n``: how many fields hold each kind; fields without findings, and empty tables, add none."""
     return scanned.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
