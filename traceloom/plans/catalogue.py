@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,8 +79,7 @@ def files_modified(spark, d):
 
 def _codex(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), "ts", "event_type")
-    by_time = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "ord"))
-    return e.where("event_type = 'view'"), e.where("event_type = 'click'").withColumn("place", by_time)
+    return e.where("event_type = 'view'"), e.where("event_type = 'click'")
 
 
 @query("""WITH a AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1),
@@ -118,15 +117,16 @@ def classify_label(spark, d):
     return _scored(spark, d).select("user_id", "bucket", "label")
 
 
-@query(LOG + "SELECT label, count(*) AS n FROM sc WHERE tier <> 'C' GROUP BY 1")
+@query(LOG + "SELECT label, count(*) AS n FROM sc WHERE (code AND in_projects AND tools >= 3) OR (files >= 1 AND tools >= 3 AND NOT slash_only) GROUP BY 1")
 def candidate_labels(spark, d):
-    return _scored(spark, d).where("tier <> 'C'").groupBy("label").agg(F.count("*").alias("n"))
+    return mining.candidates(_scored(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(LOG + """SELECT user_id, bucket, CASE WHEN users > 0 AND files = 0 AND tools = 0 THEN false ELSE users > 0 END AS verdict,
-CASE WHEN users > 0 AND files = 0 AND tools = 0 THEN 'overruled' WHEN users = 0 AND files > 0 AND tools > 5 THEN 'check' ELSE '' END AS note FROM sc""")
+@query(LOG + """SELECT user_id, bucket, users > 0 AND NOT (files = 0 AND tools = 0) AS distillable, CASE WHEN users > 0 AND files = 0 AND tools = 0 THEN 'local signals contradict judge: 0 files modified and 0 tool calls (original: r)'
+WHEN users = 0 AND files > 0 AND tools > 5 THEN 'r (local signals suggest distillable: ' || files || ' files modified, ' || tools || ' tool calls — judge disagreed)' ELSE 'r' END AS reason FROM sc""")
 def local_signals(spark, d):
-    return mining.local_signals(_scored(spark, d).withColumn("distillable", F.col("users") > 0)).select("user_id", "bucket", "verdict", "note")
+    judged = _scored(spark, d).withColumns({"distillable": F.col("users") > 0, "reason": F.lit("r"), "confidence": F.lit("low")})
+    return mining.local_signals(judged).select("user_id", "bucket", "distillable", "reason")
 
 
 @query("""WITH r AS (SELECT quality = 1 AS e, n_chars > 800 AS p FROM labels JOIN documents USING (doc_id)),
@@ -167,4 +167,4 @@ _text_query("project_slug", T.project_slug, "regexp_replace(lower(string_split(u
 _text_query("fixture_checks", lambda c: T.contains_ci(c, "THE") & ~T.contains_ci(c, "token"), "contains(lower(text), 'the') AND NOT contains(lower(text), 'token')", "passed")
 
 
-from . import logs  # noqa: E402, F401  (registers its queries here)
+from . import distill, logs  # noqa: E402, F401  (they register their queries here)

@@ -91,30 +91,31 @@ def secret_policy(spark, d):
     return redaction.apply_policy(scanned, "redact").select("doc_id", F.array_join("kinds", ",").alias("kinds"), "status", F.sha2("sent", 256).alias("sent_sha256"))
 
 
-@query(r"""SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(len(string_split(text, chr(10))) AS INT) AS lines,
-CAST(len(regexp_extract_all(text, '/(?:Users|home)/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+')) AS INT) AS path_leaks FROM documents""")
-def prompt_metrics(spark, d):
-    got = D.prompt_metrics(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *(got[k].alias(k) for k in ("chars", "lines", "path_leaks")))
+_FILTERED = r"""WITH a AS (SELECT page_id, regexp_replace(html, '[\x{202a}-\x{202e}\x{2066}-\x{2069}]', '', 'g') AS t, len(regexp_extract_all(html, '[\x{202a}-\x{202e}\x{2066}-\x{2069}]')) AS n1 FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)),
+b AS (SELECT *, regexp_replace(t, '(?s)<!--.*?--!?>', '', 'g') AS u, len(regexp_extract_all(t, '(?s)<!--.*?--!?>')) AS n2 FROM a),
+c AS (SELECT *, regexp_replace(u, '<!--|--!?>', '', 'g') AS v, n2 + len(regexp_extract_all(u, '<!--|--!?>')) AS n FROM b),
+f AS (SELECT page_id, regexp_replace(v, '(?m)^`{4,}', '```', 'g') AS clean, array_to_string(list_filter([CASE WHEN n1 > 0 THEN 'stripped ' || n1 || ' Unicode directional-override char(s)' END, CASE WHEN n > 0 THEN 'stripped ' || n || ' HTML comment(s)/delimiter(s)' END,
+  CASE WHEN len(regexp_extract_all(v, '(?m)^`{4,}')) > 0 THEN 'normalized ' || len(regexp_extract_all(v, '(?m)^`{4,}')) || ' nested code-fence line(s) (4+ backticks)' END], lambda x: x IS NOT NULL), '; ') AS violations FROM c)"""
 
 
-@query(r"""SELECT page_id, '---' || chr(10) || 'name: p' || page_id || chr(10) || '---' || chr(10) || 'body' AS clean, 'stripped unknown frontmatter key(s): secret' AS violations FROM pages""")
+@query(_FILTERED + """ SELECT page_id, '---' || chr(10) || 'name: p' || page_id || chr(10) || '---' || chr(10) || clean AS clean,
+CASE WHEN violations = '' THEN '' ELSE violations || '; ' END || 'stripped unknown frontmatter key(s): secret' AS violations FROM f""")
 def filter_output(spark, d):
-    text = F.concat(F.lit("---\nname: p"), F.col("page_id").cast("string"), F.lit("\nsecret: x\n  more\n---\nbody"))
+    text = F.concat(F.lit("---\nname: p"), F.col("page_id").cast("string"), F.lit("\nsecret: x\n  more\n---\n"), F.coalesce("html", F.lit("")))
     return D.filter_output(table(spark, d, "pages").select("page_id", text.alias("text"))).select("page_id", "clean", F.array_join("violations", "; ").alias("violations"))
 
 
-@query()
+@query(_FILTERED + " SELECT page_id, sha256(clean) AS clean_sha256, violations FROM f")
 def filter_pages(spark, d):
     return D.filter_output(table(spark, d, "pages"), "html").select("page_id", F.sha2("clean", 256).alias("clean_sha256"), F.array_join("violations", "; ").alias("violations"))
 
 
 def _reply(key: str) -> Column:
-    body = _json(name=F.lit("fix-a-build"), description=F.lit("Fix  a build"), when_to_use=F.lit("it breaks"), steps=F.array(F.lit(" look "), F.lit("")), tags=F.array(F.lit("CI"), F.lit("other")), confidence=F.lit("sure"))
+    body = _json(name=F.lit("fix-a-build"), description=F.lit("Fix  a build"), when_to_use=F.col("html"), steps=F.array(F.lit(" look "), F.lit(""), F.col("url")), tags=F.array(F.lit("CI"), F.lit("other")), confidence=F.lit("sure"))
     return F.when(F.col(key) % 3 == 0, F.lit('no {"abort": "no_artifact", "reason": "x}"}')).when(F.col(key) % 3 == 1, F.concat(F.lit("Here: "), body, F.lit(" }"))).otherwise("{ broken")
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'abort' WHEN 1 THEN 'skill' ELSE 'error' END AS kind, CASE WHEN page_id % 3 = 1 THEN 'look' ELSE '' END AS steps, CASE WHEN page_id % 3 = 1 THEN 'ci' ELSE '' END AS tags, 'low' AS confidence FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'abort' WHEN 1 THEN 'skill' ELSE 'error' END AS kind, CASE WHEN page_id % 3 = 1 THEN 'look,' || url ELSE '' END AS steps, CASE WHEN page_id % 3 = 1 THEN 'ci' ELSE '' END AS tags, 'low' AS confidence FROM pages")
 def reply_payloads(spark, d):
     rows = D.payload(table(spark, d, "pages").select("page_id", _reply("page_id").alias("reply")))
     return rows.select("page_id", "kind", F.array_join("steps", ",").alias("steps"), F.array_join("tags", ",").alias("tags"), "confidence")
