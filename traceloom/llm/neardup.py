@@ -48,7 +48,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     rolled = np.zeros(n, np.uint64)
-    for i in range(words):
+    for i in range(min(words, n)):  # all the texts together may have fewer words than a shingle
         rolled[: n - i] += hashes[i:] * _ODD[i]
     rolled = mix(rolled)
     ends = np.cumsum(counts)
