@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from .common import materialize, read
 K = 10
 #: Codes in one list of the index, about.
 LIST = 256
+#: Bit patterns that may be broadcast; beyond, the join is shuffled.
+BROADCAST_PATTERNS = 200_000
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -51,6 +52,16 @@ def _segment(code: Column, at: int, length: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << length) - 1 if length < 64 else -1))
 
 
+def _patterns(spark, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """``seg, mask`` of all patterns of ``radius`` bits in each segment: each further bit is above those before it."""
+    out = spark.createDataFrame([(i, w, 0, 0) for i, (_, w) in enumerate(cuts)], "seg int, width int, mask long, low int")
+    for _ in range(radius):
+        out = out.where("low < width").select("seg", "width", "mask", F.explode(F.sequence(F.col("low"), F.col("width") - 1)).alias("bit"))
+        out = out.select("seg", "width", F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"), (F.col("bit") + 1).alias("low"))
+    out = out.select("seg", "mask")
+    return F.broadcast(out) if sum(math.comb(w, radius) for _, w in cuts) <= BROADCAST_PATTERNS else out
+
+
 def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", is_query: Column | None = None, k: int = K, bits: int = 64) -> DataFrame:
     """The ``k`` nearest other rows of each query: ``query_id, rank, <id>, distance``.
 
@@ -64,8 +75,9 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
     asked = F.col(f"`{id_col}`") % 100 == 0 if is_query is None else is_query
     base = materialize(rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{code_col}`").cast("long").alias("code"), asked.alias("q")).where("id is not null and code is not null"), "mih-codes")
     least = Window.partitionBy("code").orderBy("id")
-    some = base.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
-    index = materialize(some.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "mih-index")
+    distinct = base.groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    some = distinct.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
+    index = materialize(some.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids")), "mih-index")
     n = index.count()
     total = base.count()
     cuts = segments(bits, n)
@@ -75,13 +87,12 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
     dealt = entries.join(lists, ["seg", "value"]).withColumn("list", F.pmod(F.xxhash64("code"), "lists"))
     buckets = materialize(dealt.groupBy("seg", "value", "list").agg(F.collect_list(F.struct("code", "ids")).alias("codes")).drop("list"), "mih-buckets")
     active = base.where("q").groupBy(F.col("id").alias("query_id")).agg(F.min("code").alias("qcode")).withColumn("within", F.lit(bits))
-    schema = "query_id long, qcode long, code long, ids array<bigint>, d int"
+    schema = "query_id long, qcode long, code long, ids array<struct<id bigint, n int>>, d int"
     best = spark.createDataFrame([], schema)
     finished: list[DataFrame] = []
-    nearest = Window.partitionBy("query_id").orderBy("d", F.col("ids")[0])
+    nearest = Window.partitionBy("query_id").orderBy("d", F.col("ids")[0]["id"])
     for s in range(max(w for _, w in cuts) + 1):
-        masks = [(i, sum(1 << b for b in on)) for i, (_, w) in enumerate(cuts) for on in combinations(range(w), s)]
-        table = F.broadcast(spark.createDataFrame(masks, "seg int, mask long"))  # as many as bit patterns of radius s
+        table = _patterns(spark, cuts, s)
         values = active.select("query_id", "qcode", "within", F.posexplode(F.array(*(_segment(F.col("qcode"), a, w) for a, w in cuts))).alias("seg", "v"))
         probes = values.join(table, "seg").select("query_id", "qcode", "within", "seg", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(buckets, ["seg", "value"])
@@ -99,7 +110,7 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
         top = best.unionByName(new).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r")
         best = materialize(top, "mih-best")
         # rows that a query has found: its own id is not a neighbour
-        others = F.size(F.filter("ids", lambda x: x != F.col("query_id")))
+        others = F.aggregate(F.filter("ids", lambda x: x["id"] != F.col("query_id")), F.lit(0), lambda acc, x: acc + x["n"])
         at_most = m * (s + 1) - 1
         state = best.groupBy("query_id").agg(F.sum(F.when(F.col("d") <= at_most, others).otherwise(0)).alias("sure"), F.sum(others).alias("seen"), F.max("d").alias("last"))
         done = state.where((F.col("sure") >= k) | (F.col("seen") >= total - 1)).select("query_id")
@@ -112,12 +123,17 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
             break
     finished.append(best)
     found = reduce(DataFrame.unionByName, finished)
-    each_row = found.select("query_id", "d", F.explode("ids").alias("id")).where("id <> query_id")
+    each_row = found.select("query_id", "d", F.explode("ids").alias("x")).where("x.id <> query_id")
+    each_row = each_row.select("query_id", "d", F.explode(F.array_repeat("x.id", F.col("x.n"))).alias("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
     return each_row.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), F.col("d").alias("distance"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The 10 nearest others of each vector whose id is divisible by 100, by the signs of its first 64 components.
+
+    Null, empty and non-finite vectors take no part.
+    """
     return search(read(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code")))
 
 
