@@ -41,6 +41,8 @@ IDENT = r"""(?<![A-Za-z0-9_])(?i:user(?:name|_id)?|login|account(?:_id)?|client_
 ENDPOINT = r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:-]+|(?i:host(?:name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"""
 VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}"
 
+#: Matches of one kind in a text that are placed together.
+BLOCK = 128
 #: Order among spans with one start.
 KINDS = ("assign", "access", "hex", "id", "endpoint", "value")
 BASE = KINDS[:3]
@@ -53,16 +55,19 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, at_least: int =
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.transform(hit, F.length).alias("m"), F.transform(value, F.length).alias("v"))
     kinds = F.lit(KINDS.index(kind))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int>>").alias("out"))
+    long = lambda x: x["g"] + F.coalesce(x["m"], F.lit(0))
+    # blocks of BLOCK matches, and the place where each begins: an append copies no more than a block
+    blocks = F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(BLOCK)), lambda i: F.slice(rows, i + 1, F.lit(BLOCK)))
+    begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.aggregate(b, F.element_at(acc, -1), lambda at, x: at + long(x))))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<s:int,e:int,k:int>>").alias("out"))
 
     def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.coalesce(x["m"], F.lit(0))
+        s, e = acc["at"] + x["g"], acc["at"] + long(x)
         one = F.struct(s.alias("s"), e.alias("e"), kinds.alias("k"))
-        kept = F.when(F.coalesce(x["v"], F.lit(-1)) >= at_least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        kept = F.when(F.coalesce(x["v"], F.lit(-1)) >= at_least, F.array_append(acc["out"], one)).otherwise(acc["out"])
         return F.struct(e.alias("at"), kept.alias("out"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    found = F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, start(F.get(begins, i)), step, lambda acc: acc["out"])))
     none = F.array().cast("array<struct<s:int,e:int,k:int>>")
     return F.when(text.rlike(pattern), found).otherwise(none)
 
@@ -130,14 +135,17 @@ def redact(docs: DataFrame, *, text_col: str = "text", scope: int = SCOPE, marke
     found = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row_id"), "spans")
     both = held.join(found, "_row_id", "left")
     text = F.col("_d").getField(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # spans by start, those that begin within an earlier one left out: where each begins and the text before it
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,s:int,kind:string>>").alias("out"))
 
     def step(acc, x):
-        skip = x["start"] < acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(marker.split("{}")[0]), x["kind"], F.lit(marker.split("{}")[1]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(piece).alias("out"))
+        one = F.struct(acc["at"].alias("a"), x["start"].alias("s"), x["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
 
-    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    both = both.withColumn("_m", F.aggregate("spans", start, step))
+    before, after = marker.split("{}")
+    pieces = F.transform("_m.out", lambda x: F.concat(F.substring(text, x["a"] + 1, x["s"] - x["a"]), F.lit(before), x["kind"], F.lit(after)))
+    new = F.concat(F.array_join(pieces, ""), F.substring(text, F.col("_m.at") + 1, F.length(text)))
     clean = F.when(F.col("spans").isNull(), text).otherwise(new)
     return both.select(*(clean.alias(c) if c == text_col else F.col("_d").getField(c).alias(c) for c in docs.columns))
 
