@@ -36,4 +36,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op1_hamming_topk": hamming.ORACLE, "op5_backoff_lm": backoff.ORACLE, "op9_near_duplicates": NEARDUP_SQL}
+ORACLE_SQL = {"op1_hamming_topk": hamming.ORACLE, "op5_backoff_lm": backoff.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_near_duplicates": NEARDUP_SQL}
