@@ -21,11 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import discard, materialize, read
 
 SAMPLE_ROWS = 1200
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 30_000
+#: A word that the sample has less often is no word of the model; its n-grams count all the same.
+LEAST_WORD = 2
 LONGEST = 5
 #: Words whose scores a task remembers, and their letters at most; longer ones are scored each time.
 CACHE_WORDS, CACHE_LETTERS = 200_000, 200
@@ -45,8 +47,12 @@ def words_of(text: str) -> list[str]:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
-        model_words: int = MODEL_WORDS, model_grams: int = MODEL_GRAMS) -> dict:
-    """The model: languages, and tables of log frequencies a word and a gram of each length."""
+        model_words: int = MODEL_WORDS, model_grams: int = MODEL_GRAMS, least_word: int = LEAST_WORD) -> dict:
+    """The model: languages, and tables of log frequencies a word and a gram of each length.
+
+    Null texts and languages teach nothing; repeated rows and null ids are rows like others.
+    A table without labelled rows gives a model without languages.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}  # one row a language
@@ -64,30 +70,31 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    words: dict[str, np.ndarray] = {}
-    at = {k: i for i, k in enumerate(langs)}
-    for r in counts.toLocalIterator():  # of the bounded sample
-        words.setdefault(r["word"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    grams: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(1, LONGEST + 1)}
-    for w, n in words.items():
-        padded = f" {w} "
-        for k, table in grams.items():
-            for i in range(len(padded) - k + 1):
-                g = padded[i : i + k]
-                if g in table:
-                    table[g] = table[g] + n
-                else:
-                    table[g] = n
-
-    def logs(table: dict[str, np.ndarray], most: int, least: int) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        total = np.sum(list(table.values()), axis=0) + 1.0
-        top = sorted((k for k in table if table[k].sum() >= least), key=lambda k: (-table[k].sum(), k))[:most]
-        return {k: np.log((table[k] + 0.1) / (total + 0.1 * len(table))).astype(np.float32) for k in top}
-
-    prior = np.log(np.array([sizes[k] for k in langs], float) / sum(sizes.values()))
-    return {"langs": langs, "prior": prior, "words": logs(words, model_words, 2), "grams": {k: logs(t, model_grams, 1) for k, t in grams.items()}}
+    own = [f"n{i}" for i in range(len(langs))]
+    sums = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in zip(langs, own, strict=True)]
+    words = materialize(counts.groupBy("word").agg(*sums), "langid-words")
+    every = sum((F.col(c) for c in own[1:]), F.col(own[0]))
+    # n-grams of the sample's distinct words, with a space before and behind
+    padded, k = F.concat(F.lit(" "), F.col("word"), F.lit(" ")), F.col("k")
+    cut = words.select(padded.alias("p"), *own, F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).where(F.length("p") >= k)
+    cut = cut.select("k", *own, F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - k + 1), lambda i: F.substring(F.col("p"), i, k))).alias("g"))
+    grams = materialize(cut.groupBy("k", "g").agg(*(F.sum(c).alias(c) for c in own)), "langid-grams")
+
+    def logs(table: DataFrame, key: str, totals, most: int, least: int) -> dict[str, np.ndarray]:
+        """Of the ``most`` frequent entries: they alone come to the driver."""
+        total, size = np.array([totals[c] or 0 for c in own], float) + 1.0, totals["size"]
+        top = table.where(every >= least).orderBy(F.desc(every), key).limit(most).collect()
+        return {r[key]: np.log((np.array([r[c] for c in own], float) + 0.1) / (total + 0.1 * size)).astype(np.float32) for r in top}
+
+    count_all = [F.count("*").alias("size"), *(F.sum(c).alias(c) for c in own)]
+    by_length = {r["k"]: r for r in grams.groupBy("k").agg(*count_all).collect()}
+    prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
+    model = {
+        "langs": langs, "prior": prior, "words": logs(words, "word", words.agg(*count_all).first(), model_words, least_word),
+        "grams": {x: logs(grams.where(k == x), "g", by_length[x], model_grams, 1) for x in sorted(by_length)},
+    }
+    discard(words, grams)
+    return model
 
 
 class Scorer:
@@ -204,5 +211,6 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every whole text; learnt from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
