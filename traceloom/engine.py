@@ -6,6 +6,8 @@ prompt, reply, rendering, filter, name, comparison with what is there, and an ou
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +16,36 @@ from .operators import documents, mining, parsing, prompts, redaction, similarit
 from .sources import reports, session_logs
 
 
-def _plain(path):
-    """Paths as one reader or another writes them, alike."""
-    return F.regexp_replace(path, "^file:/+", "/")
+def log_lines(spark: SparkSession, catalog: DataFrame) -> DataFrame:
+    """``session_id, agent, line_no, line`` of a bounded catalogue's files; only those files are opened.
 
+    Files of another size than a log may have are not read.
+    """
+    rows = session_logs.within(catalog).select("path", "session_id", "agent").collect()  # as many as the catalogue's limit
+    if not rows:
+        return spark.createDataFrame([], "session_id string, agent string, line_no int, line string")
+    held = spark.createDataFrame([(_plain(r["path"]), r["session_id"], r["agent"]) for r in rows], "_p string, session_id string, agent string")
+    text = spark.read.text([r["path"] for r in rows], wholetext=True)
+    text = text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_p"), T.trim(F.col("value")).alias("v"))
+    return text.join(F.broadcast(held), "_p").select("session_id", "agent", F.inline(session_logs.numbered(F.col("v"))))
 
-def log_lines(spark: SparkSession, catalog: DataFrame, roots: list[str]) -> DataFrame:
-    """``session_id, agent, line_no, line`` of the catalogue's files, which lie under ``roots``.
 
-    Files of another size than a log may have are not read on.
-    """
-    held = session_logs.within(catalog).select(_plain(F.col("path")).alias("_p"), "session_id", "agent")
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots, wholetext=True)
-    text = text.where(F.col("_metadata.file_size") <= session_logs.MAX_SESSION_BYTES).select(_plain(F.col("_metadata.file_path")).alias("_p"), T.trim(F.col("value")).alias("v"))
-    return text.join(held, "_p").select("session_id", "agent", F.inline(session_logs.numbered(F.col("v"))))
+def _plain(path: str) -> str:
+    """A path as one reader or another writes it, alike."""
+    return re.sub("^file:/+", "/", path)
+
+
+def corpus_lines(spark: SparkSession, root: str, agent: str, low: int = session_logs.MINED_BYTES[0], high: int = session_logs.MINED_BYTES[1]) -> DataFrame:
+    """``session_id, agent, line_no, line`` of all logs below a root with a size between the two, for mining; no links."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
+    path = F.col("_metadata.file_path")
+    some = text.where(F.col("_metadata.file_size").between(low, high)).select(path.alias("path"), T.trim(F.col("value")).alias("v")).where(session_logs.is_regular(root)(F.col("path")))
+    return some.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_id"), F.lit(agent).alias("agent"), F.inline(session_logs.numbered(F.col("v"))))
 
 
 def parse_sessions(spark: SparkSession, claude_root: str, codex_root: str, agent: str | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sessions, messages and calls (``parsing.parse``) of the last modified logs that are trusted and small enough."""
-    found = session_logs.every_catalog(spark, claude_root, codex_root, agent, limit)
-    roots = [r for name, r in (("claude-code", claude_root), ("codex", codex_root)) if agent in (None, name)]
-    return parsing.parse(log_lines(spark, found, roots))
+    """Sessions, messages and calls (``parsing.parse``) of the last modified logs that are small enough."""
+    return parsing.parse(log_lines(spark, session_logs.every_catalog(spark, claude_root, codex_root, agent, limit)))
 
 
 def list_sessions(spark: SparkSession, claude_root: str, codex_root: str, agent: str | None = None, limit: int = 10) -> DataFrame:

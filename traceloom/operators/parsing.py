@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sessions import attach_compat
+from .sessions import attach_in_order
 
 _BLOCKS = "array<struct<type string, text string, name string, input string>>"
 _ENTRY = ("type string, message struct<role string, content string, model string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint,"
@@ -169,8 +169,8 @@ def parse(lines: DataFrame, agent_col: str = "agent") -> tuple[DataFrame, DataFr
     Sessions are ``session_id, agent`` and the columns of ``sessions``; messages
     ``session_id, idx, role, content, ts``; calls ``session_id, idx, tool_idx, name, input,
     output``, ``idx`` being that of their message. Any agent but ``claude-code`` has logs of
-    the second kind, whose calls go to their session's first assistant message while none
-    so far is older than it; others belong to no message and are left out.
+    the second kind, whose calls go to messages by ``attach_in_order``; those that none takes
+    are left out.
     """
     agents = lines.groupBy("session_id").agg(F.first(agent_col).alias("agent"))
     first = entries(lines.where(F.col(agent_col) == "claude-code"))
@@ -182,8 +182,7 @@ def parse(lines: DataFrame, agent_col: str = "agent") -> tuple[DataFrame, DataFr
     at = lambda c: F.try_to_timestamp(F.nullif(F.col(c), F.lit("")))
     spoken = said.where("role = 'assistant'").select("session_id", F.col("line_no").alias("idx"), at("ts").alias("ts"))
     called = codex_calls(second).withColumn("at", at("ts"))
-    attached = attach_compat(spoken.select("session_id", "ts"), called.select("session_id", "ord", F.col("at").alias("ts"))).where("msg_ts is not null")
-    home = spoken.groupBy("session_id").agg(F.min("idx").alias("idx"))
-    more = called.join(attached.select("session_id", "ord"), ["session_id", "ord"]).join(home, "session_id")
+    attached = attach_in_order(spoken, called.select("session_id", "ord", F.col("at").alias("ts")))
+    more = called.join(attached, ["session_id", "ord"])
     more = more.select("session_id", "idx", F.col("ord").cast("int").alias("tool_idx"), "name", "input", F.lit("").alias("output"))
     return rows, every, calls.unionByName(more)

@@ -6,7 +6,7 @@ others run a command. A user's events are a log file of either kind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,8 +14,7 @@ from ..functions import tool_lines as L
 from ..operators import documents as D
 from ..operators import mining, parsing, prompts, similarity
 from ..operators.sessions import first_seen
-from ..sources import reports
-from ..sources import tables
+from ..sources import reports, tables
 from ..sources.tables import table
 from .catalogue import query
 

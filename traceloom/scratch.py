@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,15 @@ def discard(*tables: DataFrame) -> None:
         _remove(table._traceloom_path)
 
 
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], None]]:
+    """Removes the tables written within it, but those that are given to what it yields."""
+    before, kept = set(_written), set()
+    yield lambda table: kept.add(table._traceloom_path)
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _remove(path)
+
+
 def _remove(path: str) -> None:
     spark = _written.pop(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
