@@ -3,8 +3,7 @@
 ``STAGES`` are ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and
 returns what goes on. Between stages the table is written as Parquet to the shared folder
 and read again. SQL cannot express the fitted classifier, the linked secrets or the
-merges; a test holds the near-duplicate stage against stated rows, and those of the operators
-the others.
+merges; tests hold each stage, and ``run`` as a whole, against plain Python.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import bpe, mixing, neardup, quality, secret_links
-from traceloom.llm.common import materialize, read
+from traceloom.llm.common import discard, materialize, read
+from traceloom.scratch import scope
 
 #: Row keys to drop that may be broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
@@ -35,12 +35,12 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
     ids = keyed.select("doc_id", "_row")
     found = materialize(neardup.near_duplicates(keyed, id_col="_row", shingle=5), "found")
-    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
-    shared = groups.groupBy("_c").agg(F.count("*").alias("_n")).where("_n > 1").select("_c")
-    many = materialize(groups.join(shared, "_c").join(ids, "_row"), "many")
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")).join(ids, "_row")
+    # one row a group by partial aggregates; what goes is told by rows, so that a large group is never dealt out as one
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = many.groupBy("_c").agg(first["_row"].alias("_row")).select("_row")
-    gone = materialize(many.select("_row").join(stay, "_row", "left_anti"), "gone")
+    stay = groups.groupBy("_c").agg(first["_row"].alias("_row")).select("_row")
+    gone = materialize(groups.select("_row").join(stay, "_row", "left_anti"), "gone")
+    discard(found)
     left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_row", "left_anti")
     return left.select(*docs.columns)
 
@@ -67,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    """The last stage's rows; tables of the stages before are removed when the next stage has been written."""
+    docs, held = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scope() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
+        if held is not None:
+            discard(held)
+        held = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
