@@ -14,7 +14,7 @@ def test_parse_both_kinds(spark):
     lines = [
         '{"type":"user","timestamp":"t2","sessionId":"","message":{"role":"user","content":"hi"}}', "not json", "null",
         '{"type":"assistant","uuid":"u","sessionId":"s9","timestamp":"t1","message":{"role":"assistant","usage":{"input_tokens":5},"content":[{"type":"text","text":"a"},{"type":"tool_use","name":"Edit","input":{"file_path":"/x/f"}},{"type":"text","text":"b"}]}}',
-        '{"type":"tool_result","parentUuid":"u","content":"old"}', '{"type":"tool_result","parentUuid":"u","content":"new"}', '{"type":"user","message":{"role":"user","content":[{"type":"text","text":"x"}]}}',
+        '{"type":"tool_result","parentUuid":"u","message":{"content":"old"}}', '{"type":"tool_result","parentUuid":"u","message":{"content":"new"}}', '{"type":"user","message":{"role":"user","content":[{"type":"text","text":"x"}]}}',
     ]
     e = parsing.entries(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_id string, line_no int, line string"))
     assert [(r.role, r.content) for r in parsing.messages(e).orderBy("line_no").collect()] == [("user", "hi"), ("assistant", "ab"), ("user", "")]
@@ -29,7 +29,8 @@ def test_parse_both_kinds(spark):
     e = parsing.codex_entries(spark.createDataFrame([("c", i, x) for i, x in enumerate(lines)], "session_id string, line_no int, line string"))
     assert [(r.role, r.content) for r in parsing.codex_messages(e).orderBy("line_no").collect()] == [("user", "q"), ("assistant", "")]
     assert [(r.name, r.input) for r in parsing.codex_calls(e).collect()] == [("sh", '{"raw":"{bad"}')]
-    assert tuple(parsing.codex_sessions(e).first())[1:] == ("c1", "/p", 3, 4)
+    s = parsing.codex_sessions(e).first()
+    assert (s.log_id, s.project, s.input_tokens, s.output_tokens) == ("c1", "/p", 3, 4)
 
 
 def test_tool_lines(spark):

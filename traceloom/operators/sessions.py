@@ -106,8 +106,10 @@ def attach_in_order(messages: DataFrame, calls: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["session_id", "ord", "idx"])
 
     kinds = dict(messages.dtypes) | {"ord": dict(calls.dtypes)["ord"]}
-    left, right = messages.join(odd, "session_id", "left_semi").select("session_id", "idx", "ts"), calls.join(odd, "session_id", "left_semi").select("session_id", "ord", "ts")
-    folded = left.groupBy("session_id").cogroup(right.groupBy("session_id")).applyInPandas(fold, f"session_id {kinds['session_id']}, ord {kinds['ord']}, idx {kinds['idx']}")
+    # names of their own, for both may come of one table
+    left = messages.join(odd, "session_id", "left_semi").select(F.col("session_id").alias("_m"), "idx", "ts")
+    right = calls.join(odd, "session_id", "left_semi").select(F.col("session_id").alias("_c"), "ord", "ts")
+    folded = left.groupBy("_m").cogroup(right.groupBy("_c")).applyInPandas(fold, f"session_id {kinds['session_id']}, ord {kinds['ord']}, idx {kinds['idx']}")
     return native.unionByName(folded)
 
 
