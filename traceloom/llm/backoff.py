@@ -215,6 +215,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, log_score, per_word`` of every document against the counts of all."""
     out = score(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 

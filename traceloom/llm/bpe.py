@@ -483,4 +483,5 @@ def digest(docs: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text."""
     return digest(read(spark, sf_dir, "documents"))

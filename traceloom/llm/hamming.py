@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import discard, materialize, read
 
 K = 10
 #: Codes in one list of the index, about.
@@ -122,6 +122,7 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", code_col: str = "code", i
         if active.isEmpty():
             break
     finished.append(best)
+    discard(index, buckets)
     found = reduce(DataFrame.unionByName, finished)
     each_row = found.select("query_id", "d", F.explode("ids").alias("x")).where("x.id <> query_id")
     each_row = each_row.select("query_id", "d", F.explode(F.array_repeat("x.id", F.col("x.n"))).alias("id"))

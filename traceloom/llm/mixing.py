@@ -116,6 +116,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` of every document."""
     return plan_copies(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

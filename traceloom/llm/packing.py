@@ -152,5 +152,6 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Packed rows of the token ids of every document."""
     ranks, pattern = default_vocabulary()
     return pack(read(spark, sf_dir, "documents"), ranks, pattern)

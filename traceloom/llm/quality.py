@@ -223,5 +223,6 @@ def fitted(spark, docs: DataFrame, sf_dir: str) -> CumulativeLink:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, expected_grade, p_best, kept`` of every document, by a model of the labels."""
     docs = read(spark, sf_dir, "documents")
     return score(docs, fitted(spark, docs, sf_dir))

@@ -151,6 +151,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", scope: int = SCOPE, marke
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Digests of the base spans and all spans of every whole text, with the number of each kind."""
     found = scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda p: p["kind"].isin(*BASE))
