@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "events", "documents", "pages", "labels"):
+    for t in ("conversations", "events", "documents", "pages", "labels", "nation"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -25,6 +25,21 @@ def query(sql: str | None = None):
     return add
 
 
+def jaro_winkler_sql(pairs: str) -> str:
+    """SQL up to a relation ``sim (id, oid, s)`` of ``pairs``, a query for ``id, oid, a, b`` with texts in lower case.
+
+    Letter by letter of ``a`` the first free place of the same letter within the window of ``b`` is taken.
+    """
+    return f"""WITH RECURSIVE pairs AS ({pairs}),
+steps AS (SELECT id, oid, a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS w, 0::BIGINT AS i, []::BIGINT[] AS places, []::VARCHAR[] AS letters FROM pairs
+  UNION ALL SELECT id, oid, a, b, w, i + 1, CASE WHEN j IS NULL THEN places ELSE list_append(places, j) END, CASE WHEN j IS NULL THEN letters ELSE list_append(letters, a[i + 1]) END
+  FROM (SELECT *, list_filter(range(greatest(1, i + 1 - w), least(length(b), i + 1 + w) + 1), lambda j: b[j] = a[i + 1] AND NOT list_contains(places, j))[1] AS j FROM steps WHERE i < length(a))),
+ends AS (SELECT *, len(places) AS m, len(list_filter(range(1, len(places) + 1), lambda k: letters[k] <> b[list_sort(places)[k]])) / 2 AS t, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END AS same
+  FROM steps WHERE i = length(a)),
+jaro AS (SELECT id, oid, least(same, length(a), length(b)) AS same, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - t) / m) / 3 END AS j FROM ends),
+sim AS (SELECT id, oid, CASE WHEN j < 0.7 THEN j ELSE j + 0.1 * same * (1 - j) END AS s FROM jaro)"""
+
+
 M = "WITH m AS (SELECT conv_id AS session_id, turn AS idx, role, coalesce(text, '') AS content FROM conversations)"
 LOG = """WITH k AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS ep, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 log AS (SELECT *, ep // 259200 AS bucket, CASE WHEN event_type IN ('purchase', 'signup') THEN CASE WHEN k % 2 = 0 THEN 'src/f' || k || '.ts' ELSE 'docs/f' || k || '.md' END END AS path FROM k),

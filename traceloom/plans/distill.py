@@ -16,7 +16,7 @@ from ..operators import mining, parsing, prompts, similarity
 from ..operators.sessions import first_seen
 from ..sources import reports, tables
 from ..sources.tables import table
-from .catalogue import query
+from .catalogue import jaro_winkler_sql, query
 
 HOME, CREATED = "/home/me", "2026-01-31"
 
@@ -424,7 +424,9 @@ def previews(spark, d):
     return reports.preview(rows.join(counts, "session_id").select("*", F.lit(3).alias("input_tokens"), F.lit(4).alias("output_tokens")))
 
 
-@query()
+@query(jaro_winkler_sql("SELECT page_id AS id, '/s/' || n_name || '.md' AS oid, lower(url) AS a, 'https://' || lower(n_name) || '.example/index' AS b FROM pages, nation WHERE url <> ''") + """,
+hits AS (SELECT id, oid, row_number() OVER (PARTITION BY id ORDER BY s DESC, oid) AS r FROM sim WHERE s >= 0.7), g AS (SELECT id, count(*) AS n, string_agg(oid, ',' ORDER BY r) FILTER (r <= 3) AS top FROM hits GROUP BY id)
+SELECT page_id AS id, coalesce(n, 0) AS n_similar, coalesce(n, 0) > 0 AS duplicate, coalesce(top, '') AS top FROM pages LEFT JOIN g ON g.id = page_id""")
 def dedup_gate(spark, d):
     new = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("---\ndescription: "), F.col("url"), F.lit("\n---\n")).alias("text"))
     old = table(spark, d, "nation").select(F.concat(F.lit("/s/"), F.col("n_name"), F.lit(".md")).alias("path"), F.concat(F.lit("---\ndescription: https://"), F.lower("n_name"), F.lit(".example/index\n---\n")).alias("text"))

@@ -14,7 +14,7 @@ from ..functions.tool_lines import tool_line
 from ..operators import documents as D
 from ..operators import parsing, redaction, similarity
 from ..sources.tables import table
-from .catalogue import query
+from .catalogue import jaro_winkler_sql, query
 
 _TOOLS = {"click": "Bash", "purchase": "Write", "signup": "Grep", "error": "Probe"}
 
@@ -121,7 +121,8 @@ def reply_payloads(spark, d):
     return rows.select("page_id", "kind", F.array_join("steps", ",").alias("steps"), F.array_join("tags", ",").alias("tags"), "confidence")
 
 
-@query()
+@query(jaro_winkler_sql("SELECT x.n_nationkey AS id, y.n_nationkey AS oid, lower(x.n_name) AS a, lower(y.n_name) AS b FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey")
+       + " SELECT id, oid AS other_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.7")
 def similar_names(spark, d):
     names = table(spark, d, "nation")
     pairs = similarity.similar(names.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text")), names.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text")), 0.7)
