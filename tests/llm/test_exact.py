@@ -1,6 +1,7 @@
 """Operators against brute force on odd rows: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.llm import backoff, bpe, components, hamming, langid, mixing, neardup, packing, quality, secret_links
+from traceloom.llm import additive, backoff, bpe, components, hamming, langid, mixing, neardup, packing, quality, secret_links
 
 DOCS = "doc_id long, text string, lang string, source string, size string, component_id int, kept int, spans int"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +73,26 @@ def test_near_duplicates_of_odd_rows(spark, odd_rows):
     assert {r.doc_id: r.n_shingles for r in got if r.doc_id} == {i: len(shingles(t, 4)) for i, t, _, _ in rows if i}
 
 
+@pytest.mark.parametrize("leaders", [256, 1])
+def test_mixed_buckets(spark, monkeypatch, leaders):
+    """Texts around the bound of similarity: chains, groups that are near but not linked, and many members a bucket."""
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    rnd = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(40):
+            text = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                text[rnd.randrange(60)] = f"x{rnd.randint(0, 3)}"
+            rows.append((len(rows), " ".join(text), "e", "s"))
+    label = components_of([shingles(t, 4) for _, t, _, _ in rows])
+    assert 1 < len(set(label)) < len(rows) / 2
+    want = [min(i for i, x in enumerate(label) if x == v) for v in label]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_near_duplicates_of_short_texts_alone(spark):
     for text in ("a", "a b", "a b c"):
         got = neardup.near_duplicates(docs(spark, [(1, text, "e", "s")])).collect()
@@ -368,3 +389,41 @@ def test_links_against_all_pairs(spark):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_links.scan(docs(spark, rows)).collect()}
     assert any(k == "endpoint" for x in got.values() for k, _, _ in x) and any(k == "value" for x in got.values() for k, _, _ in x)
     assert got == {i: plain_links(t) for i, t, _, _ in rows}
+
+
+def test_additive_recall_of_a_whole_table(spark):
+    """Recall of the 20 nearest against brute force on all vectors of a table; RECALL_DIR names another one."""
+    d = os.environ.get("RECALL_DIR", "/root/testdata/sf0.1")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    table = rows.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), float)
+    got = {}
+    for r in additive.query(spark, d).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert sorted(got) == ids[asked].tolist()
+    hits = 0
+    for i in asked:
+        exact = x @ x[i]
+        exact[i] = -np.inf
+        near = set(ids[np.lexsort((ids, -exact))[:20]].tolist())
+        mine = sorted(got[ids[i]])
+        assert [r for r, _, _ in mine] == list(range(1, 21)) and all(abs(s - exact[np.searchsorted(ids, v)]) < 1e-9 for _, v, s in mine)
+        hits += len(near & {v for _, v, _ in mine})
+    print(f"recall {hits / len(asked) / 20:.4f} of {len(asked)} queries among {len(ids)} vectors")
+    assert hits / len(asked) / 20 >= 0.95
+
+
+def test_additive_odd_vectors(spark):
+    rows = [(20, [1.0, 2.0]), (40, [1e300, -1e300]), (1, [1.0 + 1e-12, 2.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [2.0, 2.0]), (9, [])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    index, books = additive.build(frame)
+    got = {}
+    for r in additive.search(index, books, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    sound = {20: (1.0, 2.0), 40: (1e300, -1e300), 1: (1.0 + 1e-12, 2.0), 8: (2.0, 2.0)}
+    for q in (20, 40):
+        near = sorted(((0.0 + v[0] * sound[q][0] + v[1] * sound[q][1], i) for i, v in sound.items() if i != q), key=lambda p: (-p[0], p[1]))
+        assert sorted(got[q]) == [(n + 1, i, s) for n, (s, i) in enumerate(near)]
+    none, books = additive.build(frame.limit(0))
+    assert additive.search(none, books, F.col("id") % 20 == 0).count() == 0

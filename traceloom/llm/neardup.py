@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import discard, materialize, read, slices
 from .components import components
 from .hashing import chunks, hash_chunk, mix
 
 GROUPS, WIDTH, SHINGLE = 10, 4, 4
 MAP_BITS = 2048
+#: Further members of a mixed bucket that are compared with all others first.
+LEADERS = 256
 #: Ids that may be broadcast to pick texts (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -149,14 +151,18 @@ def _sketch_hashes(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels of classes after further ``links (a, b)`` between classes."""
+    """Labels of classes after further ``links (a, b)`` between classes; the table before is removed."""
     if labels is None:
-        return materialize(components(links), "labels")
+        return components(links)
     at = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     moved = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    higher = materialize(components(moved), "labels")
-    old = labels.join(higher.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return materialize(old.unionByName(higher.join(labels.select("node"), "node", "left_anti")), "labels")
+    higher = components(moved)
+    # a large group's label is one hot key: few changes are broadcast, so that it is not dealt out
+    changes = higher.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(F.broadcast(changes) if higher.count() <= BROADCAST_IDS else changes, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    out = materialize(old.unionByName(higher.join(labels.select("node"), "node", "left_anti")), "labels")
+    discard(higher, labels)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -192,14 +198,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         most = F.least(F.col(na) - alone(ma, mb), F.col(nb) - alone(mb, ma))
         return most * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
 
-    pairs = materialize(pairs, "pairs").join(named("a"), "a").join(named("b"), "b").where(possible("na", "nb", "ma", "mb"))
-    pairs = materialize(pairs.drop("ma", "mb"), "pairs")
+    met = materialize(pairs, "pairs")
+    pairs = materialize(met.join(named("a"), "a").join(named("b"), "b").where(possible("na", "nb", "ma", "mb")).drop("ma", "mb"), "pairs")
+    discard(met)
 
     state: dict = {"labels": None, "sets": None}
+    spent = [keys, pairs]  # tables that the result does not read
 
     def compare(found: DataFrame) -> None:
         """Verify pairs ``(a, b, na, nb)`` on their full sets, and take their links in."""
         found = materialize(found, "compare")
+        spent.append(found)
         if found.isEmpty():
             return
         need = found.select(F.col("a").alias("c")).unionByName(found.select(F.col("b").alias("c"))).distinct()
@@ -208,6 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wanted = materialize(classes.select("rep", "h1", "h2", "c").join(need, "c", "left_semi"), "wanted")
         if not wanted.isEmpty():
             more = materialize(_sets(docs, wanted, id_col, text_col, shingle), "sets")
+            spent.append(more)
             state["sets"] = more if state["sets"] is None else state["sets"].unionByName(more)
         sets = state["sets"]
         both = found.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -215,6 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = materialize(both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"), "links")
         if not links.isEmpty():
             state["labels"] = _relabel(state["labels"], links)
+        discard(wanted, links)
 
     def apart(found: DataFrame) -> DataFrame:
         """Those of the pairs that are in different components so far."""
@@ -229,21 +240,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     compare(first.select((-F.col("p.a")).alias("a"), "b", F.col("p.na").alias("na"), F.col("p.nb").alias("nb")))
     compare(apart(pairs.select("a", "b", "na", "nb")))
     # further leaders where a bucket still holds several components
-    done, step = 1, 256
+    done, step = 1, LEADERS
     while True:
         labels = state["labels"]
         now = keys if labels is None else keys.join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
         now = now.withColumn("label", F.coalesce("label", "c")) if labels is not None else now.withColumn("label", F.col("c"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where((F.col("lo") < F.col("hi")) & (F.col("k") > done + 1)).select("key")
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where((F.col("lo") < F.col("hi")) & (F.col("k") > done + 1)).select("key", "k")
         ranked = now.join(mixed, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c")))
         open_ = materialize(ranked.join(maps, "c"), "open")
+        spent.append(open_)
         if open_.isEmpty():
             break
         lead = open_.where((F.col("r") > done) & (F.col("r") <= done + step)).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("r").alias("ra"), F.col("map").alias("ma"))
         rest = open_.join(lead, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized("n", "na") & possible("na", "n", "ma", "map"))
         compare(rest.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct())
+        if open_.where(F.col("k") > done + step).isEmpty():
+            break  # all pairs of these buckets have been compared
         done, step = done + step, step * 16
 
+    discard(*spent)
     reps = classes.select("c", "h1", "h2", "rep")
     if state["labels"] is not None:
         labels = state["labels"].select(F.col("node").alias("c"), "label")
@@ -258,4 +273,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
