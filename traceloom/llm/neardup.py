@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if state["labels"] is not None:
         labels = state["labels"].select(F.col("node").alias("c"), "label")
         smallest = labels.join(reps, "c").groupBy("label").agg(F.min("rep").alias("root"))
+        smallest = F.broadcast(smallest) if state["labels"].count() <= BROADCAST_IDS else smallest
         reps = reps.join(labels, "c", "left").join(smallest, "label", "left")
     else:
         reps = reps.withColumn("root", F.lit(None).cast("long"))
