@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, read
+from .hashing import mix
 
 SAMPLE_ROWS = 1200
 MODEL_WORDS = 60_000
@@ -29,11 +31,14 @@ MODEL_GRAMS = 30_000
 #: A word that the sample has less often is no word of the model; its n-grams count all the same.
 LEAST_WORD = 2
 LONGEST = 5
-#: Words whose scores a task remembers, and their letters at most; longer ones are scored each time.
+#: Words whose scores a task remembers, about, and their letters at most; with longer ones it forgets all after the run.
 CACHE_WORDS, CACHE_LETTERS = 200_000, 200
+#: Characters of texts that are scored together, about.
+RUN_CHARS = 1 << 20
 #: Letters of a long word that are scored together.
 PIECE = 1 << 16
 
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -97,8 +102,34 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return model
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of words, one after another, and where each ends."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def _gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` code points from each place on; there are fewer than places."""
+    out = np.zeros(max(0, len(codes) - k + 1), np.uint64)
+    for j in range(k):
+        out += codes[j : j + len(out)] * _ODD[j]
+    return mix(out + np.uint64(k))
+
+
+class _Numbers(dict):
+    """A number for each word, in the order of first use; ``new`` are those since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Scorer:
-    """Scores texts; words' scores are rows of one table, which starts anew when it is full."""
+    """Scores runs of texts; words' scores are rows of one table, which starts anew when it is full."""
 
     def __init__(self, model: dict):
         self.model = model
@@ -110,8 +141,15 @@ class Scorer:
                 # shifted to a maximum of 0: only differences count; single characters say little
                 rows.append(((v - v.max()) * (1.0 if k > 1 else 0.5))[None, :])
         self.gram_rows = np.concatenate(rows)
-        self.rows = np.zeros((CACHE_WORDS, n), np.float32)
-        self.place: dict[str, int] = {}
+        self.by_length = []  # for each length, the longest first: hashes in order, and their rows
+        for k, table in sorted(model["grams"].items(), reverse=True):
+            codes, _ = _codes(list(table))
+            hashes = _gram_hashes(codes, k)[:: k] if len(table) else np.zeros(0, np.uint64)
+            order = np.argsort(hashes)
+            self.by_length.append((k, hashes[order], np.fromiter(map(self.grams.__getitem__, table), np.int64, len(table))[order]))
+        self.rows = np.zeros((0, n), np.float32)
+        self.place = _Numbers()
+        self.forget = False
 
     def _grams(self, padded: str, begin: int = 0, end: int | None = None) -> list[int]:
         """The longest known n-gram at each position of a word with spaces around it."""
@@ -139,49 +177,90 @@ class Scorer:
         """Log scores of words in each language, shifted to a maximum of 0."""
         known = self.model["words"]
         out = np.zeros((len(words), self.rows.shape[1]), np.float32)
-        flat: list[int] = []
-        unseen, ends = [], []
+        unseen = []
         for i, w in enumerate(words):
             v = known.get(w)
             if v is not None:
                 out[i] = v
-            elif at := self._grams(f" {w} "):
-                flat += at
+            elif w:
                 unseen.append(i)
-                ends.append(len(flat))
         if unseen:
-            starts = np.array([0, *ends[:-1]])
-            sums = np.add.reduceat(self.gram_rows[flat], starts, axis=0)
-            out[unseen] = sums * (2.0 / np.maximum(np.array(ends) - starts, 2))[:, None]
+            # the longest known n-gram at each place of all words at once, the space behind a word aside
+            codes, ends = _codes([f" {words[i]} " for i in unseen])
+            lens = np.diff(ends, prepend=0)
+            last = np.repeat(ends, lens)
+            open_ = np.flatnonzero(np.arange(len(codes)) < last - 1)
+            found = np.full(len(codes), -1, np.int64)
+            for k, hashes, rows in self.by_length:
+                at = open_[open_ + k <= last[open_]]
+                if len(hashes) and len(at):
+                    mine = _gram_hashes(codes, k)[at]
+                    place = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+                    hit = hashes[place] == mine
+                    found[at[hit]] = rows[place[hit]]
+                    open_ = open_[found[open_] < 0]
+            at = np.flatnonzero(found >= 0)
+            word = np.repeat(np.arange(len(unseen)), lens)[at]
+            some, starts, n = np.unique(word, return_index=True, return_counts=True)
+            if len(some):
+                sums = np.add.reduceat(self.gram_rows[found[at]], starts, axis=0)
+                out[np.array(unseen)[some]] = sums * (2.0 / np.maximum(n, 2))[:, None]
         return out - out.max(1, keepdims=True)
 
-    def _places(self, words: Counter) -> np.ndarray:
-        place = self.place
-        new = [w for w in words if w not in place]
-        if len(place) + len(new) > len(self.rows):
-            place.clear()
-            new = list(words)
-            if len(new) > len(self.rows):
-                self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
-        if new:
-            at = len(place)
-            self.rows[at : at + len(new)] = self.scores(new)
-            place.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    def _learn(self) -> None:
+        """Scores of the words that are new."""
+        new, self.place.new = self.place.new, []
+        if not new:
+            return
+        begin = len(self.place) - len(new)
+        if len(self.place) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:begin], np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]), np.float32)])
+        long = [i for i, w in enumerate(new) if len(w) > CACHE_LETTERS]
+        self.forget = bool(long)
+        short = [w if len(w) <= CACHE_LETTERS else "" for w in new] if long else new
+        self.rows[begin : len(self.place)] = self.scores(short)
+        for i in long:
+            self.rows[begin + i] = self._long(new[i])
+
+    def many(self, texts: list) -> list[tuple[str, float]]:
+        """Language of each text and its share of the likelihood; ``und``, 0.0 for text without letters."""
+        if not self.model["langs"]:
+            return [("und", 0.0)] * len(texts)
+        found = [words_of(t) if isinstance(t, str) else [] for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        every = list(chain.from_iterable(found))
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        self._learn()
+        total = np.tile(self.model["prior"], (len(found), 1))
+        some = np.flatnonzero(counts)
+        if some.size:
+            total[some] += np.add.reduceat(self.rows[at], (np.cumsum(counts) - counts)[some], axis=0, dtype=np.float64)
+        out = []
+        for words, t in zip(found, total, strict=True):
+            if not any(ch.isalpha() for w in words for ch in w):
+                out.append(("und", 0.0))
+                continue
+            best = int(t.argmax())
+            out.append((self.model["langs"][best], float(1.0 / np.exp(np.clip(t - t[best], -50, 0)).sum())))
+        if len(self.place) > CACHE_WORDS or self.forget:
+            self.place, self.rows, self.forget = _Numbers(), self.rows[:0], False
+        return out
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the likelihood; ``und``, 0.0 for text without letters."""
-        text = text if isinstance(text, str) else ""
-        words = Counter(words_of(text))
-        if not self.model["langs"] or not any(ch.isalpha() for w in words for ch in w):
-            return "und", 0.0
-        total = self.model["prior"]
-        for w in [w for w in words if len(w) > CACHE_LETTERS]:
-            total = total + words.pop(w) * self._long(w)
-        times = np.fromiter(words.values(), float, len(words))
-        total = times @ self.rows[self._places(words)] + total
-        best = int(total.argmax())
-        return self.model["langs"][best], float(1.0 / np.exp(np.clip(total - total[best], -50, 0)).sum())
+        return self.many([text])[0]
+
+
+def runs(texts: list) -> Iterator[tuple[int, int]]:
+    """Texts of about ``RUN_CHARS`` together, at least one."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > begin and size + n > RUN_CHARS:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 _scorers: list[Scorer] = []
@@ -201,7 +280,9 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
             _scorers[:] = [Scorer(shared.value)]
         scorer = _scorers[0]
         for pdf in batches:
-            got = [scorer(t) for t in pdf["_text"]]
+            texts, got = list(pdf["_text"]), []
+            for a, b in runs(texts):
+                got += scorer.many(texts[a:b])
             yield pd.DataFrame({"_id": pdf["_id"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got]})
 
     kind = dict(narrow.dtypes)["_id"]
