@@ -427,3 +427,16 @@ def test_additive_odd_vectors(spark):
         assert sorted(got[q]) == [(n + 1, i, s) for n, (s, i) in enumerate(near)]
     none, books = additive.build(frame.limit(0))
     assert additive.search(none, books, F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [" \n"], [None, "", "a"], []])
+def test_tables_without_words(spark, texts):
+    rows = docs(spark, [(i, t, "e", "s") for i, t in enumerate(texts)]).repartition(3)
+    words = [len(lowered(t)) for t in texts]
+    assert sorted((r.doc_id, r.n_words) for r in backoff.score(rows).collect()) == list(enumerate(words))
+    assert sorted((r.doc_id, r.n_tokens > 0) for r in bpe.digest(rows).collect()) == [(i, bool(t)) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.size) for r in mixing.plan_copies(rows).collect()) == list(enumerate(words))
+    assert sorted((r.doc_id, r.n_shingles) for r in neardup.near_duplicates(rows).collect()) == [(i, min(n, 1)) for i, n in enumerate(words)]
+    assert sorted((r.doc_id, len(r.spans)) for r in secret_links.scan(rows).collect()) == [(i, 0) for i in range(len(texts))]
+    ranks, pattern = bpe.default_vocabulary()
+    assert packing.pack(rows, ranks, pattern).count() == int(any(texts))

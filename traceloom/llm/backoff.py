@@ -200,7 +200,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
             below = c
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "uni": pa.array(np.bincount(where, from_total, len(ids)).astype(np.int64)),
-            "log_score": pa.array(np.bincount(where, logs, len(ids))),
+            "log_score": pa.array(np.bincount(where, logs, len(ids)).astype(np.float64)),
         })
 
     every = tables[0]

@@ -324,6 +324,8 @@ def _deal(parts: int):
         for whole in batches:
             for i in range(whole.num_rows):
                 lens, data = unplanes(_unsqueeze(whole.column(4)[i].as_py()), np.int32), _unsqueeze(whole.column(5)[i].as_py())
+                if not len(lens):
+                    continue  # texts without words have no ids to wait for
                 order, place = _dealt(lens, data, parts)
                 words = _word_array(lens, data).take(pa.array(order))
                 p, starts = np.unique(place, return_index=True)
