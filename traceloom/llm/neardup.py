@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, slices
+from .common import discard, materialize, read, release, slices
 from .components import components
 from .hashing import chunks, hash_chunk, mix
 
@@ -116,6 +116,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 words = MAP_BITS // 64
                 maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * words, words, dtype=np.int32)), pa.array(_maps(sets, counts).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(h1), pa.array(h2), lists, maps], names=["doc_id", "n_shingles", "h1", "h2", "groups", "map"])
+        release()
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, groups array<bigint>, map array<bigint>")
 
@@ -133,6 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
                 h1, h2, _ = _sketch_hashes(sets, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1), pa.array(h2), lists], names=["rep", "h1", "h2", "shingles"])
+        release()
 
     found = rows.mapInArrow(run, "rep long, h1 long, h2 long, shingles array<bigint>")
     found = found.join(wanted.select("rep", "h1", "h2", "c"), ["rep", "h1", "h2"])

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import read, release, slices
 from .hashing import chunks, hash_chunk, mix
 
 SAMPLE_ROWS = 12_000
@@ -164,6 +164,8 @@ def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", i
         value = np.frombuffer(b"".join(pdf["v"]), np.float32)
         del pdf
         model.fit(start, bucket, value, y)
+        del bucket, value, start, y
+        release()
         return pd.DataFrame({"w": [model.w.astype(np.float32).tobytes()], "theta": [model.theta.tobytes()], "grades": [model.grades.tobytes()]})
 
     rows = sample.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sparse, "id string, grade double, b binary, v binary")
@@ -201,6 +203,7 @@ def score(docs: DataFrame, model: CumulativeLink, *, text_col: str = "text", kee
                 part = others.slice(a, b - a)
                 columns = [pa.array(grade, pa.float64(), from_pandas=True), pa.array(p), pa.array(p >= threshold)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "expected_grade", "p_best", "kept"])
+        release()
 
     kinds = dict(narrow.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in carried), "expected_grade double, p_best double, kept boolean"])
