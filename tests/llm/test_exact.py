@@ -440,3 +440,39 @@ def test_tables_without_words(spark, texts):
     assert sorted((r.doc_id, len(r.spans)) for r in secret_links.scan(rows).collect()) == [(i, 0) for i in range(len(texts))]
     ranks, pattern = bpe.default_vocabulary()
     assert packing.pack(rows, ranks, pattern).count() == int(any(texts))
+
+
+def test_bpe_answers_of_a_large_batch_take_little_memory(monkeypatch):
+    """What is made beside the ids and bytes of a batch does not grow with it."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    ranks, pattern = bpe.default_vocabulary()
+    by_id, ids = bpe._by_id(ranks), np.random.default_rng(3).integers(0, 50_000, 1 << 21).astype(np.int32)
+    counts = np.array([0, 5, 1 << 20, 0, (1 << 20) - 5])
+    tracemalloc.start()
+    got = bpe.decode_ids(by_id, ids, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tokens = {r: b for b, r in ranks.items()}
+    ends = np.cumsum(counts)
+    assert [x.as_py() for x in got] == [b"".join(tokens[int(i)] for i in ids[b - n : b]) for b, n in zip(ends, counts)]
+    assert peak < 150e6  # of them 12 MB of bytes; a place of 8 bytes for each byte, three times, took 256 MB
+
+    import pyarrow as pa
+
+    texts = [None, "one two", "", *(" ".join(f"w{i * j % 97}é" for j in range(i)) for i in range(60)), None]
+    packer = bpe._Packer(bpe.splitter(pattern).findall, 3)
+    for a, b, run in bpe.text_runs(texts, 500):
+        packer.add(pa.record_batch({"_k0": pa.array(range(a, b), pa.int64())}), run)
+    left = pa.Table.from_batches([packer.out(7)])
+    words = pa.Table.from_batches(list(bpe._deal(3)(left.to_batches())))
+    shared = SimpleNamespace(value=ranks)
+    right = pa.concat_tables([bpe._replayed(shared)(words.filter(pa.compute.equal(words["p"], p))) for p in (2, 0, 1)])
+    library = bpe.Encoder(ranks, pattern)
+    for most in (1, 50, 1 << 18):
+        monkeypatch.setattr(bpe, "JOIN_WORDS", most)
+        monkeypatch.setattr(bpe, "GATHER_RUNS", min(most, 40))
+        out = bpe._joined(shared, 3, True)(left, right)
+        assert max(b.num_rows for b in out.to_batches()) < (10 if most == 1 else 70)
+        assert [(r["_k0"], r["ids"], r["_bytes"]) for r in out.to_pylist()] == [(i, library.encode([t or ""])[0].tolist(), (t or "").encode()) for i, t in enumerate(texts)]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import planes, read, shuffle_partitions, slices, unplanes
+from .common import planes, read, release, shuffle_partitions, slices, unplanes
 from .hashing import hash_runs
 
 #: Texts are taken together up to so many characters.
@@ -40,6 +40,8 @@ CHUNK_CHARS = 1 << 18
 BATCH_CHARS, PARTITION_CHARS = 8_000_000, 24_000_000
 #: Bytes of words that are replayed together.
 REPLAY_BYTES = 1 << 19
+#: Runs that are gathered together, and words of a batch whose ids are made and decoded together.
+GATHER_RUNS, JOIN_WORDS = 1 << 16, 1 << 18
 #: Words of a generation that a worker remembers, and their characters at most.
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
@@ -230,8 +232,12 @@ def gather(flat: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     starts = np.cumsum(lens) - lens
     each = lens[at]
     ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[at] - (ends - each), each) + np.arange(total)], each
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for i in range(0, len(at), GATHER_RUNS):  # places are 8 bytes each: few at a time
+        own, last = each[i : i + GATHER_RUNS], ends[i : i + GATHER_RUNS]
+        begin, end = int(last[0] - own[0]), int(last[-1])
+        out[begin:end] = flat[np.repeat(starts[at[i : i + GATHER_RUNS]] - (last - own), own) + np.arange(begin, end)]
+    return out, each
 
 
 def text_runs(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
@@ -354,15 +360,53 @@ def _replayed(shared):
         flat, lens = np.concatenate([*flat, np.zeros(0, np.int32)]), np.concatenate([*lens, np.zeros(0, np.int64)])
         at = coded.indices.to_numpy()
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])
-        out = [gather(flat, lens, at[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids, each = gather(flat, lens, at[a:b])
+            out.append((_squeeze(planes(each.astype(np.int32))), _squeeze(planes(ids))))
+        merger.pairs.clear()
+        release()
         return pa.table({
-            "batch": table.column("batch"), "p": table.column("p"), "lens": pa.array([_squeeze(planes(each.astype(np.int32))) for _, each in out], pa.binary()),
-            "ids": pa.array([_squeeze(planes(ids.astype(np.int32))) for ids, _ in out], pa.binary()),
+            "batch": table.column("batch"), "p": table.column("p"), "lens": pa.array([x for x, _ in out], pa.binary()), "ids": pa.array([x for _, x in out], pa.binary()),
         })
 
     return run
 
 
+def _joined(shared, parts: int, decoded: bool):
+    """The documents of a batch with their ids, and with what these decode to if ``decoded``, in Arrow batches of about ``JOIN_WORDS`` words."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _mergers.clear()  # all merges have been replayed by now
+        order = np.argsort(right.column("p").to_numpy())
+        read_ = lambda name: np.concatenate([*(unplanes(_unsqueeze(right.column(name)[int(i)].as_py()), np.int32) for i in order), np.zeros(0, np.int32)])
+        lens, flat = read_("lens").astype(np.int64), read_("ids")
+        out = []
+        for i in range(left.num_rows):  # each batch has its row, so that no group of answers comes alone
+            rows, counts, numbers, sizes, data = (_unsqueeze(left.column(c)[i].as_py()) for c in ("rows", "counts", "numbers", "lens", "words"))
+            dealt, _ = _dealt(unplanes(sizes, np.int32), data, parts)
+            if len(dealt) != len(lens):
+                raise RuntimeError("the words of a batch have changed between two runs of the input")
+            at = np.empty(len(dealt), np.int32)
+            at[dealt] = np.arange(len(dealt), dtype=np.int32)
+            numbers, rows = unplanes(numbers, np.int32), pa.ipc.open_stream(rows).read_all().combine_chunks()
+            upto = np.concatenate([[0], np.cumsum(unplanes(counts, np.int32))])
+            a = 0
+            while a < rows.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + JOIN_WORDS, "right")) - 1)
+                ids, each = gather(flat, lens, at[numbers[upto[a] : upto[b]]])
+                ends = np.concatenate([[0], np.cumsum(each)])[upto[a : b + 1] - upto[a]]
+                columns = dict(zip(rows.schema.names, rows.slice(a, b - a).columns, strict=True))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+                if decoded:
+                    columns["_bytes"] = decode_ids(_by_id(shared.value), ids, np.diff(ends))
+                out.append(pa.table(columns))
+                a = b
+        release()
+        return pa.concat_tables(out)
+
+    return run
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded_col: str | None = None) -> DataFrame:
     """``keep`` columns and ``ids array<int>`` of each whole text, one row per input row.
 
@@ -389,36 +433,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
                 packer.add(others.slice(a, b - a), texts)
         if packer.rows:
             yield packer.out(task << 33 | n)
+        release()
 
     # both readers take whole rows, so that they share one shuffle
     held = narrow.mapInArrow(packed, _BATCH).repartition(parts, "batch")
     words = held.mapInArrow(_deal(parts), "p int, batch long, lens binary, words binary")
     back = words.groupBy("p").applyInArrow(_replayed(shared), "batch long, p int, lens binary, ids binary")
 
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("p").to_numpy())
-        read_ = lambda name: np.concatenate([*(unplanes(_unsqueeze(right.column(name)[int(i)].as_py()), np.int32) for i in order), np.zeros(0, np.int32)])
-        lens, flat = read_("lens").astype(np.int64), read_("ids")
-        out = []
-        for i in range(left.num_rows):
-            rows, counts, numbers, sizes, data = (_unsqueeze(left.column(c)[i].as_py()) for c in ("rows", "counts", "numbers", "lens", "words"))
-            dealt, _ = _dealt(unplanes(sizes, np.int32), data, parts)
-            if len(dealt) != len(lens):
-                raise RuntimeError("the words of a batch have changed between two runs of the input")
-            at = np.empty(len(dealt), np.int64)
-            at[dealt] = np.arange(len(dealt))
-            ids, each = gather(flat, lens, at[unplanes(numbers, np.int32)])
-            ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(unplanes(counts, np.int32))])]
-            offsets = pa.array(ends.astype(np.int32))
-            columns = {**dict(zip(names, pa.ipc.open_stream(rows).read_all().columns, strict=True)), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
-            if decoded_col:
-                columns["_bytes"] = decode_ids(_by_id(shared.value), ids, np.diff(ends))
-            out.append(pa.table(columns))
-        return pa.concat_tables(out)  # each batch has its row, so that no group of answers comes alone
-
-    names = [f"_k{i}" for i in range(len(keep))]
     schema = ", ".join([*fields, "ids array<int>", *(["_bytes binary"] if decoded_col else [])])
-    out = held.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(joined, schema)
+    out = held.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_joined(shared, parts, decoded_col is not None), schema)
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "ids", *([F.col("_bytes").alias(decoded_col)] if decoded_col else []))
 
 
@@ -447,9 +470,9 @@ _tables: list[tuple] = []
 
 def decode_ids(by_id: tuple[np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
     """The bytes of runs of ``counts`` ids."""
-    data, each = gather(*by_id, ids.astype(np.int64))
+    data, each = gather(*by_id, ids)
     offsets = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
