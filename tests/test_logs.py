@@ -108,9 +108,31 @@ def test_similar_within(spark, monkeypatch):
     from traceloom.functions.text import frontmatter_value
 
     cut = {r.doc_id: r.t[:512] for r in spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", frontmatter_value(F.col("text")).alias("t")).collect() if r.t}
-    got = {(r.id, r.other_id) for r in QUERIES["similar_descriptions"](spark, "/root/testdata/sf0.001").collect()}
-    some = sorted(cut)[:12]
-    assert {p for p in got if p[0] in some} == {(i, j) for i in some for j in cut if i != j and similarity.jaro_winkler(cut[i], cut[j]) >= 0.8}
+    got = {r.id: (r.class_id, r.n_links) for r in QUERIES["similar_descriptions"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == {r.doc_id for r in docs} and {got[i] for i in got.keys() - cut.keys()} <= {(None, 0)}
+    for i in sorted(cut)[:12]:
+        links = {j for j in cut if i != j and similarity.jaro_winkler(cut[i], cut[j]) >= 0.8}
+        assert got[i] == (min(j for j in cut if cut[j] == cut[i]), len(links))
+
+
+def test_linked(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    words = ["martha", "marhta", "MARTHA", "", None, "a", "ab", "x" * 600, "x" * 512 + "y", *["copy of one text"] * 40, "copy of one texts"]
+    words += ["".join(rnd.choice("abcdé xyz") for _ in range(rnd.choice((3, 40, 512)))) for _ in range(40)]
+    rows = [(i if i != 20 else None, w) for i, w in enumerate(words)] + [(0, "martha")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    monkeypatch.setattr(similarity, "BLOCK", 7)  # several blocks
+    cut = [(i, (w or "")[:512]) for i, w in rows]
+    for least in (0.6, 0.8, 1.0, 1.5):
+        want = [(i, min((k for k, u in cut if u == t and k is not None), default=None) if t else None,
+                 sum(x != y and bool(t and u) and similarity.jaro_winkler(t, u) >= least for y, (_, u) in enumerate(cut))) for x, (i, t) in enumerate(cut)]
+        got = [(r.id, r.class_id, r.n_links) for r in similarity.linked(df, least).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    texts = df.select(F.lit(1).alias("id"), "text").where("text = 'copy of one text'")
+    assert {(r.id, r.class_id, r.n_links) for r in similarity.linked(texts).collect()} == {(1, 1, 39)}
+    assert similarity.linked(df.limit(0)).count() == 0
 
 
 def test_mining_of_logs(spark):
