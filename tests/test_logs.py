@@ -133,6 +133,13 @@ def test_linked(spark, monkeypatch):
     texts = df.select(F.lit(1).alias("id"), "text").where("text = 'copy of one text'")
     assert {(r.id, r.class_id, r.n_links) for r in similarity.linked(texts).collect()} == {(1, 1, 39)}
     assert similarity.linked(df.limit(0)).count() == 0
+    # blocks grow with the table, so that texts are not shuffled once for each few of them
+    monkeypatch.setattr(similarity, "BLOCKS", 2)
+    many = spark.range(100).select(F.col("id").alias("t"), F.concat(F.lit("x"), "id").alias("text"))
+    assert similarity._blocks(many, "blocks")[1] == 2
+    assert [(at, len(b.size)) for at, b in similarity._parts(["abc"] * 12)] == [(0, 6), (6, 6)]
+    assert {(r.id, r.n_links) for r in similarity.linked(df.where("id is not null"), 0.6).collect()} == {
+        (i, sum(x != y and bool(t and u) and j is not None and similarity.jaro_winkler(t, u) >= 0.6 for y, (j, u) in enumerate(cut))) for x, (i, t) in enumerate(cut) if i is not None}
 
 
 def test_mining_of_logs(spark):
