@@ -142,6 +142,34 @@ def test_linked(spark, monkeypatch):
         (i, sum(x != y and bool(t and u) and j is not None and similarity.jaro_winkler(t, u) >= 0.6 for y, (j, u) in enumerate(cut))) for x, (i, t) in enumerate(cut) if i is not None}
 
 
+def test_linked_makes_texts_once(spark):
+    import random
+
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdefghijkl mnop") for _ in range(512)) for _ in range(3)]
+    words = [b[k:] + b[:k] for b in base for k in range(0, 512, 40)]  # places out of the window's reach
+    words += ["".join(rnd.choice("abcdefghijkl mnopz") if rnd.random() < share else c for c in b) for b in base for share in (0.01, 0.1, 0.3, 0.6) for _ in range(4)]
+    words += ["".join(chr(0x4E00 + rnd.randrange(150)) for _ in range(rnd.choice((2, 60, 300)))) for _ in range(30)]  # more letters than are counted in each text
+    words += ["".join(rnd.choice("ab\U0001f600") for _ in range(rnd.choice((1, 7, 50)))) for _ in range(40)]
+    assert len(words) > 128  # more than one tile
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return words[i]
+
+    for least in (0.55, 0.8):
+        links = [0] * len(words)
+        for i, a in enumerate(words):
+            for j in range(i):
+                if similarity.jaro_winkler(a, words[j]) >= least:
+                    links[i], links[j] = links[i] + 1, links[j] + 1
+        before = made.value
+        got = {r.id: r.n_links for r in similarity.linked(spark.range(len(words)).select("id", text("id").alias("text")), least).collect()}
+        assert got == dict(enumerate(links)) and made.value - before == len(words)
+
+
 def test_mining_of_logs(spark):
     import json
 
